@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, tokens
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_quality": op1_quality}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.context_limits(tokens.length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op7_token_counts, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
