@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, tokens
+from . import decontam, neardup, quality, tokens, urls
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.digest(decontam.hits(docs, items))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_limits(tokens.length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -23,5 +36,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op7_token_counts, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_url_filter, op4_near_duplicates, op5_decontamination, op7_token_counts, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
