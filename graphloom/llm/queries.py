@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, quality, tokens, urls
+from . import decontam, html, neardup, quality, tokens, toxicity, urls
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +32,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_limits(tokens.length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_url_filter, op4_near_duplicates, op5_decontamination, op7_token_counts, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_url_filter, op4_near_duplicates, op5_decontamination, op7_token_counts, op8_html_extraction, op9_toxicity, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
