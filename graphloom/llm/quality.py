@@ -180,3 +180,18 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: list[str] | None =
 
     scored = source.mapInArrow(judge, out)
     return scored.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "score", "predicted")
+
+
+def accept(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """The rows of docs that the model doesn't reject, with all their columns."""
+    c.prepare(docs.sparkSession)
+    names = docs.columns
+    source = docs.select(*[F.col(f"`{x}`").alias(f"k{i}") for i, x in enumerate(names)], F.col("text").alias("fm_text"), _meta(docs).alias("fm_meta"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = model.score(*featurize(batch.column("fm_text"), batch.column("fm_meta"))) >= THRESHOLD
+            yield batch.select([f"k{i}" for i in range(len(names))]).filter(pa.array(good))
+
+    kept = source.mapInArrow(judge, source.drop("fm_text", "fm_meta").schema)
+    return kept.select(*[F.col(f"k{i}").alias(x) for i, x in enumerate(names)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, neardup, quality, tokens, toxicity, urls
+from . import ann, decontam, html, mixing, neardup, quality, tokens, toxicity, urls
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -28,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.hits(docs, items))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_limits(tokens.length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
@@ -46,5 +54,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_url_filter, op4_near_duplicates, op5_decontamination, op7_token_counts, op8_html_extraction, op9_toxicity, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_url_filter, op4_near_duplicates, op5_decontamination, op6_nearest_neighbours, op7_token_counts, op8_html_extraction, op9_toxicity, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
