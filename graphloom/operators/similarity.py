@@ -44,7 +44,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
     if not picked:
         return 0.0
     other = [y for y, u in zip(b, used) if u]
-    m, swapped = len(picked), sum(x != y for x, y in zip(picked, other)) / 2
+    m, swapped = len(picked), sum(x != y for x, y in zip(picked, other)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
     return jaro + 0.1 * same * (1 - jaro) if jaro > 0.7 else jaro
