@@ -1 +1 @@
-
+"""Operators over the graph models."""

@@ -1 +1 @@
-
+"""Query compilation and loops."""
