@@ -12,13 +12,13 @@ from ..sources import tables as t
 
 TRIPLES = t.triples_sql()
 COLS = 'subject, predicate, kind, coalesce(node, str, CAST("int" AS VARCHAR)) AS text, dbl'
-SHOWN = ["subject", "predicate", "kind", F.coalesce("node", "str", F.col("int").cast("string")).alias("text"), "dbl"]
+SHOWN = ["subject", "predicate", "kind", "coalesce(node, str, cast(`int` as string)) as text", "dbl"]
 
 
 def shape(name: str, where: str, **bound) -> None:
     @query(name, f"SELECT {COLS} FROM ({TRIPLES}) WHERE {where}")
     def run(spark, d):
-        return g.find(t.triples(spark, d), **bound).select(*SHOWN)
+        return g.find(t.triples(spark, d), **bound).selectExpr(*SHOWN)
 
 
 shape("scan_triples", "true")
@@ -58,7 +58,7 @@ ORDERED = 'ORDER BY subject, predicate, CASE kind WHEN \'Node\' THEN 0 WHEN \'St
 
 @query("query_builder", f"SELECT {COLS} FROM ({TRIPLES}) WHERE predicate = 'has_name' {ORDERED} LIMIT 25 OFFSET 10")
 def query_builder(spark, d):
-    return g.builder(t.triples(spark, d), 10, 25, predicate="has_name")[0].select(*SHOWN)
+    return g.builder(t.triples(spark, d), 10, 25, predicate="has_name")[0].selectExpr(*SHOWN)
 
 
 @query("query_builder_totals", f"SELECT count(*) AS total_count, count(*) - 10 > 25 AS has_more FROM ({TRIPLES}) WHERE predicate = 'has_name'")
@@ -69,17 +69,17 @@ def query_builder_totals(spark, d):
 @query("query_pattern", f"SELECT {COLS} FROM ({TRIPLES}) WHERE predicate = 'acctbal' AND starts_with(subject, 'supplier:') {ORDERED} LIMIT 10000")
 def query_pattern(spark, d):
     rows = g.in_namespace(g.find(t.triples(spark, d), predicate="acctbal"), "supplier")
-    return g.page(rows, ["subject", "predicate", *model.value_order()], 0, 50_000, g.MOST_ROWS).select(*SHOWN)
+    return g.page(rows, ["subject", "predicate", *model.value_order()], 0, 50_000, g.MOST_ROWS).selectExpr(*SHOWN)
 
 
 @query("host_graph_query", f"SELECT {COLS} FROM ({TRIPLES}) WHERE subject = 'order:1' AND predicate = 'placed_by' {ORDERED} LIMIT 5")
 def host_graph_query(spark, d):
-    return g.page(g.find(t.triples(spark, d), "order:1", "placed_by"), ["subject", "predicate", *model.value_order()], 0, 5).select(*SHOWN)
+    return g.page(g.find(t.triples(spark, d), "order:1", "placed_by"), ["subject", "predicate", *model.value_order()], 0, 5).selectExpr(*SHOWN)
 
 
 @query("list_triples", f"SELECT {COLS} FROM ({TRIPLES}) WHERE predicate = 'in_nation' {ORDERED} LIMIT 100 OFFSET 20")
 def list_triples(spark, d):
-    return g.page(g.find(t.triples(spark, d), predicate="in_nation"), ["subject", "predicate", *model.value_order()], 20).select(*SHOWN)
+    return g.page(g.find(t.triples(spark, d), predicate="in_nation"), ["subject", "predicate", *model.value_order()], 20).selectExpr(*SHOWN)
 
 
 @query("namespace_scope", f"SELECT subject, CASE WHEN starts_with(subject, 'nation:') THEN subject ELSE 'nation:' || subject END AS scoped FROM ({TRIPLES}) WHERE predicate = 'has_name' AND (starts_with(subject, 'nation:') OR starts_with(subject, 'region:'))")
@@ -97,7 +97,7 @@ def policy_hidden(spark, d):
 @query("semantic_query", f"SELECT {COLS} FROM ({TRIPLES}) WHERE starts_with(subject, 'nation:1') AND predicate = 'in_region' {ORDERED} LIMIT 50")
 def semantic_query(spark, d):
     rows = g.find(t.triples(spark, d), predicate="in_region").where(F.col("subject").startswith("nation:1"))
-    return g.page(rows, ["subject", "predicate", *model.value_order()], 0, 50).select(*SHOWN)
+    return g.page(rows, ["subject", "predicate", *model.value_order()], 0, 50).selectExpr(*SHOWN)
 
 
 NEW = "SELECT 'nation:' || n_nationkey AS subject, 'has_name' AS predicate, n_name AS str FROM nation UNION ALL SELECT 'nation:' || (n_nationkey % 5), 'label', 'n' || (n_nationkey % 5) FROM nation"
@@ -113,13 +113,13 @@ def insert_batch(spark, d):
 
 @query("delete_by_prefix", f"SELECT {COLS} FROM ({TRIPLES}) WHERE NOT starts_with(subject, 'order:')")
 def delete_by_prefix(spark, d):
-    return g.delete_by_prefix(t.triples(spark, d), "order:").select(*SHOWN)
+    return g.delete_by_prefix(t.triples(spark, d), "order:").selectExpr(*SHOWN)
 
 
 @query("delete", f"SELECT {COLS} FROM ({TRIPLES}) WHERE NOT (predicate = 'in_region')")
 def delete(spark, d):
     rows = t.triples(spark, d)
-    return g.delete(rows, model.with_id(g.find(rows, predicate="in_region"))).select(*SHOWN)
+    return g.delete(rows, model.with_id(g.find(rows, predicate="in_region"))).selectExpr(*SHOWN)
 
 
 ESCAPED = "replace(replace(str, '\\', '\\\\'), '\"', '\\\"')"
@@ -137,7 +137,7 @@ def export_ntriples(spark, d):
 @query("import_ntriples", f"SELECT {COLS} FROM ({TRIPLES}) WHERE kind <> 'Float' AND predicate IN ('in_region', 'size', 'has_name')")
 def import_ntriples(spark, d):
     lines = rdf.ntriples_lines(t.triples(spark, d).where("kind <> 'Float' and predicate in ('in_region', 'size', 'has_name')"))
-    return rdf.parse_ntriples(lines).select(*SHOWN)
+    return rdf.parse_ntriples(lines).selectExpr(*SHOWN)
 
 
 @query("export_turtle")
