@@ -269,18 +269,18 @@ def term_coverage(spark, d):
 # --- sorts with limits -------------------------------------------------------------------------------
 
 
-def top(name: str, sql: str, table: str, where: str, order: list, limit: int, columns: list) -> None:
+def top(name: str, sql: str, table: str, where: str, order: list[str], limit: int, columns: list) -> None:
     @query(name, sql)
     def run(spark, d):
-        return t.table(spark, d, table).where(where).orderBy(*order).limit(limit).select(*columns)
+        return t.table(spark, d, table).where(where).orderBy(*[F.expr(o.split()[0]).desc() if o.endswith(" desc") else F.col(o) for o in order]).limit(limit).select(*columns)
 
 
-top("recent_nodes", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 30", "events", "true", [F.desc("ts"), F.desc("event_id")], 30, ["event_id", "event_type"])
+top("recent_nodes", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 30", "events", "true", ["ts desc", "event_id desc"], 30, ["event_id", "event_type"])
 top("seq_range", "SELECT event_id, user_id FROM events WHERE event_id >= 100 AND event_id < 400 ORDER BY event_id LIMIT 64", "events", "event_id >= 100 and event_id < 400", ["event_id"], 64, ["event_id", "user_id"])
-top("decisions_sorted", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40", "orders", "true", [F.desc("o_orderdate"), "o_orderkey"], 40, ["o_orderkey", "o_orderstatus"])
-top("list_approvals", "SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 64", "events", "event_type = 'signup'", [F.desc("event_id")], 64, ["event_id", "user_id"])
-top("list_git_provenance", "SELECT event_id, value FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 25", "events", "event_type = 'purchase'", [F.desc("ts"), F.desc("event_id")], 25, ["event_id", "value"])
-top("viz_recent", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10", "events", "true", [F.desc("ts"), F.desc("event_id")], 10, ["event_id", "ts"])
+top("decisions_sorted", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40", "orders", "true", ["o_orderdate desc", "o_orderkey"], 40, ["o_orderkey", "o_orderstatus"])
+top("list_approvals", "SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 64", "events", "event_type = 'signup'", ["event_id desc"], 64, ["event_id", "user_id"])
+top("list_git_provenance", "SELECT event_id, value FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 25", "events", "event_type = 'purchase'", ["ts desc", "event_id desc"], 25, ["event_id", "value"])
+top("viz_recent", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10", "events", "true", ["ts desc", "event_id desc"], 10, ["event_id", "ts"])
 top("viz_dag", "SELECT event_id, user_id FROM events WHERE lower(event_type) = 'view' AND user_id < 40 ORDER BY event_id LIMIT 100", "events", "lower(event_type) = lower('VIEW') and user_id < 40", ["event_id"], 100, ["event_id", "user_id"])
 top("decision_query", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'ing') AND lang = 'en' AND contains(source, '1') ORDER BY doc_id LIMIT 50", "documents", "contains(lower(text), 'ing') and array_size(array_except(array('en'), array(lang, source))) = 0 and contains(source, '1')", ["doc_id"], 50, ["doc_id", "lang"])
 
