@@ -7,8 +7,6 @@ scan; a full scan reads each column once.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,12 +46,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facts of the star schema as triples."""
-    parts, tables = [], {name: table(spark, sf_dir, name) for name in {f[0] for f in FACTS}}
+    """All facts of the star schema as triples, in one statement: it is parsed and analysed once."""
+    types = {f.name: f.dataType.simpleString() for f in model.SCHEMA.fields}
+    rows = []
     for name, subject, predicate, kind, column, payload in FACTS:
-        rows = tables[name]
-        parts.append(rows.select(F.expr(subject).alias("subject"), F.lit("named").alias("subject_kind"), F.lit(predicate).alias("predicate"), *model.value(kind, **{column: F.expr(payload)})))
-    return reduce(DataFrame.unionByName, parts)
+        cells = ", ".join(f"CAST({payload if x == column else 'NULL'} AS {types[x]}) AS `{x}`" for x in model.PAYLOAD)
+        rows.append(f"SELECT {subject} AS subject, 'named' AS subject_kind, '{predicate}' AS predicate, '{kind}' AS kind, {cells} FROM {{{name}}}")
+    return spark.sql(" UNION ALL ".join(rows), **{name: table(spark, sf_dir, name) for name in sorted({f[0] for f in FACTS})})
 
 
 def triples_sql() -> str:
