@@ -222,7 +222,7 @@ def _routed(rows: DataFrame, router: Router, probes: int) -> DataFrame:
             order = np.argsort(-router.logits(_unit(_matrix(batch.column("vec"), router.dim))), axis=1, kind="stable")[:, :probes]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(order.tolist(), pa.list_(pa.int32()))], ["id", "vec", "parts"])
 
-    return rows.mapInArrow(run, "id long, vec array<double>, parts array<int>")
+    return rows.mapInArrow(c.tidy(run), "id long, vec array<double>, parts array<int>")
 
 
 def _search(base: DataFrame, queries: DataFrame, router: Router, probes: int, k: int) -> DataFrame:
@@ -252,7 +252,7 @@ def _search(base: DataFrame, queries: DataFrame, router: Router, probes: int, k:
             found = best_of_block(ids[asks], vec[asks], ids[~asks], vec[~asks], k)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(rank, "query_id long, vec_id long, score double")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(c.tidy(rank), "query_id long, vec_id long, score double")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE) -> DataFrame:

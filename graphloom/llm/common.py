@@ -6,6 +6,8 @@ Python worker holds a few MB beside the Arrow batch, however long a text is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -19,13 +21,18 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text hashed at a time.
-SLICE = 1 << 21
+SLICE = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 6 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows up to which a table of ids and small values is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started; bound Arrow batches by bytes, as texts may be long."""
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -33,6 +40,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def tidy(function: Callable) -> Callable:
+    """A mapInArrow function that hands freed memory back once its partition is done: workers are reused for hours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -96,7 +96,7 @@ def term_frequencies(docs: DataFrame, terms: np.ndarray) -> dict[int, int]:
 
     if not len(terms):
         return {}
-    counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("text").mapInArrow(c.tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip((x % (1 << 64) for x in counted.column("term").to_pylist()), counted.column("n").to_pylist()))
 
 
@@ -121,7 +121,7 @@ def positional_index(docs: DataFrame, terms: np.ndarray, key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([pa.array(_signed(term[starts])), batch.column("doc").take(pa.array(row[starts])), lists], ["term", "doc", "positions"])
 
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("doc"), "text").mapInArrow(post, f"term long, doc {kind}, positions array<int>")
+    rows = docs.select(F.col(key).alias("doc"), "text").mapInArrow(c.tidy(post), f"term long, doc {kind}, positions array<int>")
     return c.materialize(rows, "postings")
 
 
@@ -170,7 +170,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "
             _, first = c.words(*c.utf8(batch.column("text")), c.ALNUM)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(first))], ["doc", "n_words"])
 
-    sized = docs.select(F.col(key).alias("doc"), "text").mapInArrow(count, f"doc {kind}, n_words long")
+    sized = docs.select(F.col(key).alias("doc"), "text").mapInArrow(c.tidy(count), f"doc {kind}, n_words long")
     if not parts:
         return sized.select(F.col("doc").alias(key), "n_words", F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     every = parts[0]
@@ -232,7 +232,7 @@ def _verified(docs: DataFrame, found: DataFrame, phrases: Phrases, key: str) ->
                 ["doc", "n_words", "spans", "items"],
             )
 
-    return own.mapInArrow(check, f"doc {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    return own.mapInArrow(c.tidy(check), f"doc {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
 
 
 def proximity_matches(docs: DataFrame, terms: list[str], within: int, key: str = "doc_id") -> DataFrame:
@@ -258,7 +258,7 @@ def proximity_matches(docs: DataFrame, terms: list[str], within: int, key: str =
                         ends.append(p + 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc", "start", "end"])
 
-    return lists.mapInArrow(sweep, f"doc {kind}, start int, end int").withColumnRenamed("doc", key)
+    return lists.mapInArrow(c.tidy(sweep), f"doc {kind}, start int, end int").withColumnRenamed("doc", key)
 
 
 def judged(found: DataFrame) -> DataFrame:

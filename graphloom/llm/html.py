@@ -421,4 +421,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 texts = used.extract(some.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(c.tidy(run), f"page_id {kinds['page_id']}, url string, text string, n_chars long")

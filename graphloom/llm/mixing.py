@@ -84,7 +84,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: d
             docs_of = np.bincount(number, minlength=len(domains))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(value, -1 - np.arange(len(domains)))), pa.array(np.append(n, docs_of))], ["cell", "n"])
 
-    training = own.where("held = 0").select("domain", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    training = own.where("held = 0").select("domain", "text").mapInArrow(c.tidy(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells, n = training.column("cell").to_numpy(), training.column("n").to_numpy()
     seen = np.zeros(len(domains))
     np.add.at(seen, -1 - cells[cells < 0], n[cells < 0])
@@ -107,7 +107,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: d
                 total[i] += (z - top - np.log(np.exp(z - top).sum(1, keepdims=True)))[np.arange(len(number)), number].sum()
         yield pa.RecordBatch.from_arrays([pa.array(list(SHARPNESS)), pa.array(total)], ["sharp", "fit"])
 
-    fit = own.where("held = 1").select("domain", "text").mapInArrow(fits, "sharp double, fit double").groupBy("sharp").agg(F.sum("fit").alias("fit")).collect()
+    fit = own.where("held = 1").select("domain", "text").mapInArrow(c.tidy(fits), "sharp double, fit double").groupBy("sharp").agg(F.sum("fit").alias("fit")).collect()
     if fit:
         model.sharpness = max(fit, key=lambda r: (round(r["fit"], 6), -r["sharp"]))["sharp"]
     return model
@@ -122,7 +122,7 @@ def posteriors(docs: DataFrame, model: Posteriors) -> DataFrame:
             p, n = model.of(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, p array<double>")
+    return docs.select("doc_id", "text").mapInArrow(c.tidy(run), f"doc_id {kind}, n_tokens long, p array<double>")
 
 
 def _rate(steps: list[list[float]]):
@@ -210,5 +210,5 @@ def resample(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets
             for at in range(0, len(spots), 1024):
                 yield kept.take(pa.array(spots[at : at + 1024]))
 
-    again = source.mapInArrow(run, source.drop("mix_text", "mix_unit").schema)
+    again = source.mapInArrow(c.tidy(run), source.drop("mix_text", "mix_unit").schema)
     return again.select(*[F.col(f"k{i}").alias(x) for i, x in enumerate(names)])

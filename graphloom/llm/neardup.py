@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                 keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(c.tidy(run), "doc_id long, n long, h1 long, h2 long, keys array<long>")
 
 
 class _Forest:
@@ -208,7 +208,7 @@ def links_of_groups(docs: DataFrame, placed: DataFrame, k: int, percent: int, m:
                 sets = [s.tobytes() for s in shingle_sets(some.column("text"), k)]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("pairs"), pa.array(sets, pa.binary())], ["doc_id", "pairs", "shingles"])
 
-    rows = own.select("doc_id", "text", "pairs").mapInArrow(cut, "doc_id long, pairs array<struct<key:long,side:int>>, shingles binary")
+    rows = own.select("doc_id", "text", "pairs").mapInArrow(c.tidy(cut), "doc_id long, pairs array<struct<key:long,side:int>>, shingles binary")
     rows = rows.select("doc_id", "shingles", F.explode("pairs").alias("p")).select(F.col("p.key").alias("key"), F.col("p.side").alias("side"), "doc_id", "shingles")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def links_of_groups(docs: DataFrame, placed: DataFrame, k: int, percent: int, m:
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(c.tidy(join), "a long, b long")
 
 
 def _block_pairs(group: Column, block: Column, blocks: Column) -> Column:

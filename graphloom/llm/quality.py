@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             cut = [index[a:b].astype(np.uint16).tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(cut, pa.binary())], ["doc_id", "y", "features"])
 
-    got = pairs.mapInArrow(shrink, "doc_id long, y int, features binary").toArrow().sort_by("doc_id")
+    got = pairs.mapInArrow(c.tidy(shrink), "doc_id long, y int, features binary").toArrow().sort_by("doc_id")
     data, y = [], got.column("y").to_numpy().astype(np.float32) if got.num_rows else np.zeros(0, np.float32)
     for cell in got.column("features"):
         index = np.frombuffer(cell.as_py(), np.uint16).astype(np.int32)
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: list[str] | None =
             s = model.score(*featurize(batch.column("fm_text"), batch.column("fm_meta")))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*[f"k{i}" for i in range(len(keep))], "score", "predicted"])
 
-    scored = source.mapInArrow(judge, out)
+    scored = source.mapInArrow(c.tidy(judge), out)
     return scored.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "score", "predicted")
 
 
@@ -193,5 +193,5 @@ def accept(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             good = model.score(*featurize(batch.column("fm_text"), batch.column("fm_meta"))) >= THRESHOLD
             yield batch.select([f"k{i}" for i in range(len(names))]).filter(pa.array(good))
 
-    kept = source.mapInArrow(judge, source.drop("fm_text", "fm_meta").schema)
+    kept = source.mapInArrow(c.tidy(judge), source.drop("fm_text", "fm_meta").schema)
     return kept.select(*[F.col(f"k{i}").alias(x) for i, x in enumerate(names)])

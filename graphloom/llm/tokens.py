@@ -41,9 +41,9 @@ from . import common as c
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-CACHE = 1_500_000
-SLOTS = 1 << 20
-CHARS = 1 << 21
+CACHE = 600_000
+SLOTS = 1 << 19
+CHARS = 1 << 20
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -390,7 +390,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
         if held:
             yield shard()
 
-    return c.materialize(order.mapInArrow(encode, "part long, seq long, n_docs long, n_ids long, shard binary"), "shards")
+    return c.materialize(order.mapInArrow(c.tidy(encode), "part long, seq long, n_docs long, n_ids long, shard binary"), "shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -419,7 +419,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids.astype(np.int64), mask=shard.nulls), pa.array(base + first), pa.array(ends - first), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(c.tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -444,7 +444,7 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
             length, n = np.unique(counts, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n)], ["length", "n_docs"])
 
-    return docs.select("text").mapInArrow(count, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select("text").mapInArrow(c.tidy(count), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:

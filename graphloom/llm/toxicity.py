@@ -311,4 +311,4 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
             s = grammar.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(c.tidy(judge), f"doc_id {kind}, score double, predicted int")
