@@ -407,7 +407,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     bases = spark.createDataFrame(rows, "part long, base long")
     prior = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = shards.select("part", "seq", prior.alias("prior")).join(F.broadcast(bases), "part").select("part", "seq", (F.col("base") + F.col("prior")).alias("base"))
-    placed = shards.select("part", "seq", "shard").join(starts, ["part", "seq"]).select("base", "shard")
+    placed = shards.select("part", "seq", "shard").join(c.small(c.materialize(starts, "shard-starts")), ["part", "seq"]).select("base", "shard")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
