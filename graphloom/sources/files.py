@@ -14,7 +14,7 @@ MOST_BYTES, MOST_FILES = 2 << 20, 200_000
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
     """path, content of every file below a folder."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return rows.where(F.col("length") <= MOST_BYTES).select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+    return rows.where(F.col("length") <= MOST_BYTES).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def listed(files: DataFrame) -> DataFrame:
