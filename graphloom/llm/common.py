@@ -26,7 +26,7 @@ SLICE = 1 << 20
 BATCH_BYTES = 6 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows up to which a table of ids and small values is broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -80,10 +80,9 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound, else as it is."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 # --- words of UTF-8 text -------------------------------------------------------------------------

@@ -122,6 +122,18 @@ def test_near_duplicates_against_all_pairs(spark, k, percent, monkeypatch):
     assert got == brute_duplicates(list(enumerate(texts)), k, percent)
 
 
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+    texts = [" ".join([*base[:50], *(f"e{rng.integers(0, 3)}" for _ in range(3))]) for _ in range(12)] + [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) for _ in range(8)]
+    docs, bench = frame(spark, texts), spark.createDataFrame([(0, " ".join(base[:20]))], "item_id long, text string")
+    near = sorted(map(tuple, neardup.near_duplicates(docs, 3, 85).collect()))
+    found = sorted(map(tuple, decontam.digest(decontam.hits(docs, bench)).collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    assert sorted(map(tuple, neardup.near_duplicates(docs, 3, 85).collect())) == near
+    assert sorted(map(tuple, decontam.digest(decontam.hits(docs, bench)).collect())) == found and sum(r[5] for r in found) == 12
+
+
 def test_near_duplicates_odd(spark):
     odd = odd_docs(spark)
     rows = neardup.near_duplicates(odd, 3, 85).collect()
