@@ -36,9 +36,9 @@ def integrity_rules(spark, d):
     return r.validate(rows).select(F.explode("rejections").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("contradictions", "WITH f AS (SELECT c_custkey % 50 AS s, CASE c_custkey % 4 WHEN 0 THEN 'likes' WHEN 1 THEN 'dislikes' WHEN 2 THEN 'trusts' ELSE 'knows' END AS p, c_nationkey AS o FROM customer) SELECT DISTINCT a.s, a.o FROM f a JOIN f b ON a.s = b.s AND a.o = b.o WHERE a.p = 'likes' AND b.p = 'dislikes'")
+@query("contradictions", "WITH f AS (SELECT c_custkey % 50 AS s, ['is', 'is_not', 'allows', 'forbids', 'knows'][1 + c_custkey % 7 % 5] AS p, c_nationkey AS o FROM customer) SELECT DISTINCT a.s, a.o FROM f a JOIN f b ON a.s = b.s AND a.o = b.o WHERE a.p = 'is' AND b.p = 'is_not' OR a.p = 'allows' AND b.p = 'forbids'")
 def contradictions(spark, d):
-    f = t.table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("s"), F.expr("case c_custkey % 4 when 0 then 'likes' when 1 then 'dislikes' when 2 then 'trusts' else 'knows' end").alias("p"), F.col("c_nationkey").alias("o"))
+    f = t.table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("s"), F.expr("array('is', 'is_not', 'allows', 'forbids', 'knows')[cast(c_custkey % 7 % 5 as int)]").alias("p"), F.col("c_nationkey").alias("o"))
     return r.contradictions(f)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import fixpoint, store
+from ..plans.fixpoint import reach
 
 
 def edges(actions: DataFrame) -> DataFrame:
@@ -30,12 +30,14 @@ def last_of_authors(actions: DataFrame, n: int) -> DataFrame:
     return actions.withColumn("n", F.row_number().over(own)).where(F.col("n") <= n).drop("n")
 
 
+def _up(actions: DataFrame) -> DataFrame:
+    return edges(actions).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+
+
 def ancestors(actions: DataFrame, start: list[int]) -> DataFrame:
     """hash of the given actions and all that they rest on."""
-    e = store(edges(actions))
-    seed = actions.sparkSession.createDataFrame([(x,) for x in start], "hash long")
-    grow = lambda delta, turn: delta.join(e, F.col("hash") == F.col("child")).select(F.col("parent").alias("hash"))
-    return fixpoint(seed, grow, ["hash"])
+    seed = actions.sparkSession.createDataFrame([(x,) for x in start], "node long")
+    return reach(_up(actions), seed).select(F.col("node").alias("hash"))
 
 
 def replay(actions: DataFrame) -> DataFrame:
@@ -65,9 +67,7 @@ def missing(actions: DataFrame, remote_tips: list[int]) -> DataFrame:
 
 def depths(actions: DataFrame) -> DataFrame:
     """hash, depth: the distance from the nearest tip."""
-    e = store(edges(actions))
-    grow = lambda delta, turn: delta.join(e, F.col("hash") == F.col("child")).select(F.col("parent").alias("hash"), (F.col("depth") + 1).alias("depth"))
-    return fixpoint(tips(actions).select("hash", F.lit(0).alias("depth")), grow, ["hash"], 100_000)
+    return reach(_up(actions), tips(actions).select(F.col("hash").alias("node"))).select(F.col("node").alias("hash"), "depth")
 
 
 def prune(actions: DataFrame, keep_since: str | None = None, keep_last: int | None = None, keep_depth: int | None = None) -> DataFrame:

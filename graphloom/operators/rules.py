@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import fixpoint, store
+from ..plans.fixpoint import counted, fixpoint, store
 
 #: Predicates that exclude each other.
-OPPOSED = (("likes", "dislikes"), ("trusts", "distrusts"), ("allows", "forbids"), ("supports", "opposes"), ("is_a", "is_not_a"), ("knows", "unknown_to"), ("enabled", "disabled"), ("before", "after"))
+OPPOSED = (("is", "is_not"), ("has", "lacks"), ("true", "false"), ("alive", "dead"), ("exists", "not_exists"), ("enables", "disables"), ("allows", "forbids"), ("before", "after"))
 
 
 def integrity() -> dict[str, Column]:
@@ -36,7 +37,7 @@ def contradictions(facts: DataFrame, pairs=OPPOSED) -> DataFrame:
         number = F.when(F.col("p").isin(a, b), i).otherwise(number)
         side = F.when(F.col("p") == a, 1).when(F.col("p") == b, 2).otherwise(side)
     rows = facts.select("s", "o", number.alias("pair"), side.alias("side")).where("pair is not null")
-    return rows.groupBy("s", "o", "pair").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("s", "o")
+    return rows.groupBy("s", "o", "pair").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select("s", "o").distinct()
 
 
 def temporal_cycles(before: DataFrame) -> DataFrame:
@@ -53,13 +54,17 @@ def disjoint_violations(types: DataFrame, disjoint: DataFrame) -> DataFrame:
 
 @dataclass
 class Rule:
-    """name: body patterns (s, p, o) imply head; terms that begin with ? are variables."""
+    """name: body patterns (s, p, o) imply head; terms that begin with ? are variables.
+
+    A term may be a function from a column to a condition; `when` is one of what is derived, as a struct of s, p and o.
+    """
 
     name: str
     body: list[tuple[str, str, str]]
     head: tuple[str, str, str]
     priority: int = 0
     unequal: list[tuple[str, str]] = field(default_factory=list)
+    when: Callable[[Column], Column] | None = None
 
 
 #: The built-in semantic rules, with the bindings that make them derive something.
@@ -72,39 +77,65 @@ SEMANTIC = (
 )
 
 
-def matches(facts: DataFrame, rule: Rule) -> DataFrame:
-    """s, p, o of what a rule derives from facts(s, p, o)."""
+def matches(facts: DataFrame, rule: Rule, delta: DataFrame | None = None, spot: int = 0) -> DataFrame:
+    """s, p, o of what a rule derives from facts(s, p, o); with delta, its pattern number `spot` is matched by the delta alone."""
     out: DataFrame | None = None
-    for pattern in rule.body:
-        rows = facts.where(F.col("p") == pattern[1])
-        picked = []
-        for column, term in (("s", pattern[0]), ("o", pattern[2])):
-            if term.startswith("?"):
-                picked.append(F.col(column).alias(term[1:]))
-            else:
-                rows = rows.where(F.col(column) == term)
-        rows = rows.select(*picked)
-        out = rows if out is None else out.join(rows, sorted(set(out.columns) & set(rows.columns)))
+    # the delta goes first, so that joins start from the few new rows
+    for i in sorted(range(len(rule.body)), key=lambda i: (i != spot, i)):
+        pattern = rule.body[i]
+        rows = facts if delta is None or i != spot else delta
+        fixed = [F.col(column) == term for column, term in zip("spo", pattern) if isinstance(term, str) and not term.startswith("?")]
+        names: dict[str, list[str]] = {}
+        for column, term in zip("spo", pattern):
+            if callable(term):
+                fixed.append(term(F.col(column)))
+            elif term.startswith("?"):
+                names.setdefault(term[1:], []).append(column)
+        for columns in names.values():
+            fixed += [F.col(columns[0]) == F.col(x) for x in columns[1:]]
+        for cond in fixed:
+            rows = rows.where(cond)
+        rows = rows.select(*[F.col(columns[0]).alias(name) for name, columns in names.items()])
+        if out is None:
+            out = rows
+        else:
+            shared = sorted(set(out.columns) & set(rows.columns))
+            out = out.join(rows, shared) if shared else out.crossJoin(rows)
     for a, b in rule.unequal:
         out = out.where(F.col(a[1:]) != F.col(b[1:]))
     term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
-    return out.select(term(rule.head[0]).alias("s"), F.lit(rule.head[1]).alias("p"), term(rule.head[2]).alias("o"))
+    out = out.select(term(rule.head[0]).alias("s"), term(rule.head[1]).alias("p"), term(rule.head[2]).alias("o"))
+    return out if rule.when is None else out.where(rule.when(F.struct("s", "p", "o")))
+
 
+def forward_chain(facts: DataFrame, rules=SEMANTIC, one_step: bool = False) -> DataFrame:
+    """s, p, o, rule of the facts that the rules add, to a fixpoint (or from the base facts alone).
 
-def forward_chain(facts: DataFrame, rules=SEMANTIC, most: int = 100, one_step: bool = False) -> DataFrame:
-    """s, p, o, rule of the facts that the rules add, to a fixpoint (or from the base facts alone)."""
+    Semi-naive: a round joins, for each pattern of a rule, the facts of the last round with all known ones.
+    """
     base = store(facts.select("s", "p", "o").distinct())
-    known, derived = base, None
-    for _ in range(most):
+    known, delta, derived, turn = base, None, None, 0
+    heads = {r.head[1] for r in rules if not r.head[1].startswith("?")}
+    while True:
         found = None
         for r in rules:
-            rows = matches(known, r).withColumn("rule", F.lit(r.name))
-            found = rows if found is None else found.unionByName(rows)
-        fresh = store(found.groupBy("s", "p", "o").agg(F.min("rule").alias("rule")).join(known, ["s", "p", "o"], "left_anti"))
+            for spot, pattern in enumerate(r.body):
+                name = pattern[1]
+                if delta is None and spot:
+                    break
+                if delta is not None and isinstance(name, str) and not name.startswith("?") and name not in heads and all(not x.head[1].startswith("?") for x in rules):
+                    continue  # no rule makes such facts
+                rows = matches(known, r, delta, spot).withColumn("rule", F.lit(r.name))
+                found = rows if found is None else found.unionByName(rows)
+        if found is None:
+            break
+        fresh, n = counted(found.groupBy("s", "p", "o").agg(F.min("rule").alias("rule")).join(known, ["s", "p", "o"], "left_anti"))
         derived = fresh if derived is None else derived.unionByName(fresh)
-        if one_step or fresh.isEmpty():
+        if one_step or not n:
             break
-        known = store(known.unionByName(fresh.select("s", "p", "o")))
+        turn += 1
+        delta = fresh.select("s", "p", "o")
+        known = store(known.unionByName(delta)) if turn % 8 == 0 else known.unionByName(delta)
     return derived
 
 

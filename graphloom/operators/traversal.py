@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import components, fixpoint, store
+from ..plans.fixpoint import components, counted, fixpoint, reach, store, strong_components
 
 HOPS, MOST_HOPS, STEPS = 4, 6, 50
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def reachable(edges: DataFrame, start: list, max_depth: int | None = None, bidirectional: bool = False) -> DataFrame:
     """node, depth (the shortest) of what can be reached from the start nodes, which are left out."""
-    step_edges = edges.select("src", "dst")
-    if bidirectional:
-        step_edges = step_edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    step_edges = store(step_edges.distinct())
     kind = dict(edges.dtypes)["src"]
-    seed = edges.sparkSession.createDataFrame([(x, 0) for x in start], f"node {kind}, depth int")
-    grow = lambda delta, turn: delta.join(step_edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
-    return fixpoint(seed, grow, ["node"], max_depth or 10_000).where("depth > 0")
+    seed = edges.sparkSession.createDataFrame([(x,) for x in start], f"node {kind}")
+    return reach(both_ways(edges) if bidirectional else edges, seed, max_depth).where("depth > 0")
 
 
 def shortest_path(edges: DataFrame, start, end, max_hops: int = HOPS) -> DataFrame:
     """path (array of nodes) of a shortest undirected path of at most max_hops (six at most); of equal ones the least."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = store(both_ways(edges).distinct())
     kind = dict(edges.dtypes)["src"]
     seed = edges.sparkSession.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
     grow = lambda delta, turn: delta.join(both, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
@@ -35,27 +34,30 @@ def simple_paths(edges: DataFrame, start, end, max_edges: int = MOST_HOPS, share
     """path, product of all simple paths of at most max_edges; the product is null if a share is missing."""
     kind = dict(edges.dtypes)["src"]
     rows = edges.sparkSession.createDataFrame([(start, [start], 1.0)], f"node {kind}, path array<{kind}>, product double")
+    # every hop reads the edges again; those that don't lead to the end within the hops left are of no use
+    edges = store(edges)
+    ahead = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), edges.sparkSession.createDataFrame([(end,)], f"node {kind}"), max_edges - 1)
+    edges = store(edges.join(ahead.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst", share))
     found = None
     for _ in range(max_edges):
-        rows = store(rows.join(edges, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("product") * F.col(share)).alias("product")))
+        rows, n = counted(rows.join(edges, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), (F.col("product") * F.col(share)).alias("product")))
         hit = rows.where(F.col("node") == end).select("path", "product")
         found = hit if found is None else found.unionByName(hit)
         rows = rows.where(F.col("node") != end)
+        if not n:
+            break
     return found
 
 
 def chain_back(events: DataFrame, start: int, steps: int = STEPS) -> DataFrame:
     """id, step of an event and its parents, oldest last, at most `steps`."""
-    spark = events.sparkSession
-    links = events.select(F.col("id").alias("child"), "parent")
-    seed = spark.createDataFrame([(start, 0)], "id long, step int")
-    grow = lambda delta, turn: delta.join(links, F.col("id") == F.col("child")).where("parent is not null").select(F.col("parent").alias("id"), (F.col("step") + 1).alias("step"))
-    return fixpoint(seed, grow, ["id"], steps - 1)
+    links = events.select(F.col("id").alias("src"), F.col("parent").alias("dst"))
+    return reach(links, events.sparkSession.createDataFrame([(start,)], "node long"), steps - 1).select(F.col("node").alias("id"), F.col("depth").alias("step"))
 
 
 def ego_networks(edges: DataFrame, seeds: DataFrame, scores: DataFrame) -> DataFrame:
     """seed, nodes, max_score of the undirected two-hop surroundings of each seed."""
-    both = store(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = store(both_ways(edges).distinct())
     one = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"))
     hop = lambda rows: rows.join(both, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"))
     first = store(one.unionByName(hop(one)).distinct())
@@ -63,16 +65,18 @@ def ego_networks(edges: DataFrame, seeds: DataFrame, scores: DataFrame) -> DataF
     return every.join(scores, F.col("node") == F.col("id")).groupBy("seed").agg(F.count(F.lit(1)).alias("nodes"), F.max("score").alias("max_score"))
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """node, component (its smallest node) of components of more than one node, by colouring.
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of components of more than one node.
 
-    A node takes the least colour among what reaches it; within a colour, what its root can be reached
+    A graph that one task can't hold is coloured: a node takes the least colour among what reaches it; within a colour, what its root can be reached
     from is a component, and leaves the graph.
     """
     left, done = store(edges.select("src", "dst").where("src <> dst").distinct()), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    small = strong_components(left)
+    if small is not None:
+        big = small.groupBy("component").count().where("count > 1").select("component")
+        return small.join(big, "component", "left_semi").select("node", "component")
+    while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
         colour = store(nodes.select("node", F.col("node").alias("colour")))
         while True:
