@@ -1,42 +1,42 @@
-"""What the training-data operators share: shared-folder tables, byte-level word hashing, components.
+"""What the training-data operators share: shared-folder tables and byte-level word hashing.
 
 Texts are hashed as UTF-8 bytes in numpy, whole and in bounded slices, so that a
-Python worker holds a few MB beside the Arrow batch, however long a text is.
+Python worker holds a few MB beside the Arrow batch, however long a text is. A word's hash takes
+eight bytes at a time through a multiply-xor round, so no two words of a rule-made family have
+one hash but by chance (1 in 2^64 a pair); where a match must be certain, bytes are compared.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.fixpoint import components, importable, shared_dir  # noqa: F401
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 #: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Rows up to which a table of ids and small values is broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 250_000
+#: Bytes up to which a written table is broadcast; beyond it Spark joins by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, wherever the driver was started; bound Arrow batches by bytes, as texts may be long."""
     if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    importable(spark)
     return spark
 
 
@@ -52,82 +52,112 @@ def tidy(function: Callable) -> Callable:
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder, under a name that tells what it is, and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if base.split("://")[-1].lstrip("/") in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in a hash table."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        fixed = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType))
+        size = F.size(value) * 8 + 16 if fixed else F.aggregate(value, F.lit(16).cast("long"), lambda total, x: total + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size.cast("long"), F.lit(8).cast("long"))
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A written table with a broadcast hint if the bytes of its values, all counted, are within the bound; else as it is."""
+    each = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 # --- words of UTF-8 text -------------------------------------------------------------------------
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_P = 0x5851F42D4C957F2D
-_PINV = pow(_P, -1, 1 << 64)
+#: Longer words are hashed one by one.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit moves every output bit."""
     x = x + _GOLD
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTES = mix(np.arange(256, dtype=np.uint64)) | np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE + 4096), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 4 * SLICE:
-            _powers[base] = have
-    return have[:n]
-
-
-def byte_classes(is_word: Callable[[int], bool]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash value of each byte, A-Z as a-z; whether the byte belongs to words)."""
-    values = _BYTES.copy()
-    values[65:91] = _BYTES[97:123]
-    lower = [b + 32 if 65 <= b < 91 else b for b in range(256)]
-    return values, np.array([is_word(b) for b in lower])
-
-
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
+
+
+#: Which bytes of a number of eight belong to a word that has 0 to 8 bytes left.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first lowest; data has eight bytes of padding."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range data[start : start + size]; data has eight bytes of padding."""
+    view = eights(data)
+    out = mix(view[starts] & _KEEP[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _GOLD
+    out = mix(out)
+    left = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    at = 8
+    while len(left):
+        out[left] = mix(out[left] ^ (view[starts[left] + at] & _KEEP[np.minimum(sizes[left] - at, 8)]))
+        at += 8
+        left = left[sizes[left] > at]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_ranges(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the byte ranges of one size at a_starts of a and b_starts of b are equal; both are padded."""
+    one, two = eights(a), eights(b)
+    keep = _KEEP[np.minimum(sizes, 8)]
+    same = (one[a_starts] & keep) == (two[b_starts] & keep)
+    left = np.flatnonzero(same & (sizes > 8) & (sizes <= LONG))
+    at = 8
+    while len(left):
+        keep = _KEEP[np.minimum(sizes[left] - at, 8)]
+        same[left] = (one[a_starts[left] + at] & keep) == (two[b_starts[left] + at] & keep)
+        at += 8
+        left = left[same[left] & (sizes[left] > at)]
+    for i in np.flatnonzero(same & (sizes > LONG)).tolist():
+        n = sizes[i]
+        same[i] = np.array_equal(a[a_starts[i] : a_starts[i] + n], b[b_starts[i] : b_starts[i] + n])
+    return same
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(8, np.uint8)])
+
+
+def byte_class(is_word: Callable[[int], bool]) -> np.ndarray:
+    """Whether each byte, A-Z read as a-z, belongs to words."""
+    return np.array([is_word(b + 32 if 65 <= b < 91 else b) for b in range(256)])
+
+
+#: A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Words as runs of anything but ASCII white space.
-SPACED = byte_classes(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
+SPACED = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 #: Words as runs of a-z, 0-9 and every byte of non-ASCII characters.
-ALNUM = byte_classes(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
+ALNUM = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,58 +174,43 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, classes=SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the first word's index of each text (and the end)."""
-    values, is_word = classes
-    hashes, starts_all, at, n = [], [], 0, len(data)
-    while at < n:
+def word_ranges(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of all texts starts and ends in data; no word reaches over two texts."""
+    starts, ends, n = [], [], len(data)
+    for at in range(0, n, SLICE):
         end = min(n, at + SLICE)
-        if end < n:  # cut after a separator or between texts, else at the next of them
-            back = np.flatnonzero(~is_word[data[at:end]])
-            edge = offsets[np.searchsorted(offsets, end, "right") - 1]
-            cut = max(at + int(back[-1]) + 1 if len(back) else at, int(edge))
-            while cut <= at:
-                more = min(n, end + SLICE)
-                ahead = np.flatnonzero(~is_word[data[end:more]])
-                nxt = int(offsets[np.searchsorted(offsets, end, "left")])
-                cut = min(end + int(ahead[0]) if len(ahead) else n + 1, nxt if nxt <= more else n + 1)
-                if cut > n and more == n:
-                    cut = n
-                elif cut > n:
-                    end, cut = more, at
-            end = cut
-        part = data[at:end]
-        inside = is_word[part]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        inner = offsets[(offsets > at) & (offsets < end)] - at if len(offsets) < 4096 else offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, end, "left")] - at
-        first[inner] = inside[inner]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
-        before = inner[inner > 0] - 1
-        last[before] = inside[before]
-        s, e = np.flatnonzero(first), np.flatnonzero(last)
-        if len(s):
-            total = values[part]
-            total *= _power(_P, len(part))
-            np.cumsum(total, out=total)
-            value = total[e]
-            value[1:] -= total[s[1:] - 1]
-            if s[0]:
-                value[:1] -= total[s[0] - 1 : s[0]]
-            value *= _power(_PINV, len(part))[s]
-            hashes.append(mix(value ^ (e - s).astype(np.uint64)))
-            starts_all.append(s + at)
-        at = end
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts_all), offsets)
-
-
-def hash_word(word: str, classes=SPACED) -> int:
+        inside = is_word[data[at:end]]
+        before = np.empty(end - at, bool)
+        before[0] = at > 0 and is_word[data[at - 1]]
+        before[1:] = inside[:-1]
+        edge = offsets[np.searchsorted(offsets, at, "left") : np.searchsorted(offsets, end, "left")] - at
+        first, stop = inside & ~before, before & ~inside
+        first[edge], stop[edge] = inside[edge], before[edge]
+        starts.append(np.flatnonzero(first) + at)
+        ends.append(np.flatnonzero(stop) + at)
+    if n and is_word[data[-1]]:
+        ends.append(np.array([n]))
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and the first word's index of each text (and the end)."""
+    starts, ends = word_ranges(data, offsets, is_word)
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + SLICE, SLICE))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        if b > a:  # a slice of lower-cased bytes, up to the end of its last word
+            low = int(starts[a])
+            out[a:b] = hash_ranges(padded(LOWER[data[low : int(ends[b - 1])]]), starts[a:b] - low, ends[a:b] - starts[a:b])
+    return out, np.searchsorted(starts, offsets)
+
+
+def hash_word(word: str, is_word: np.ndarray = SPACED) -> int:
     """The hash that words() gives to one word."""
     data, offsets = utf8(pa.array([word]))
-    found, _ = words(data, offsets, classes)
+    found, _ = words(data, offsets, is_word)
     assert len(found) == 1, "not one word"
     return int(found[0])
 
@@ -232,48 +247,3 @@ def arrow_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
-
-
-# --- connected components -----------------------------------------------------------------------
-
-
-def components(edges: DataFrame, name: str = "links", rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of edges(a, b).
-
-    Each round every node points to its neighbour of lowest rank (itself if none is
-    lower) and the graph is contracted along these pointers. The first round ranks by id,
-    which settles stars; later ones by a hash, which halves any graph in expectation.
-    Only counts reach the driver. Joins have plain exchanges on both sides, so adaptive
-    execution can split hubs.
-    """
-    spark = edges.sparkSession
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
-    maps: list[DataFrame] = []
-    for turn in range(rounds):
-        if edges.isEmpty():
-            break
-        rank = (lambda c: F.col(c)) if turn == 0 else (lambda c, t=turn: F.xxhash64(F.col(c), F.lit(t)))
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("id"))).alias("m"))
-        own = F.struct(rank("a").alias("r"), F.col("a").alias("id"))
-        to = materialize(best.select(F.col("a").alias("node"), F.least(own, F.col("m"))["id"].alias("to")), f"{name}-to")
-        maps.append(to)
-        left = edges.join(to.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
-        left = materialize(left.select("a2", "b"), f"{name}-half")
-        done = left.join(to.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
-        old, edges = edges, materialize(done.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), f"{name}-edges")
-        drop_table(old)
-        drop_table(left)
-    else:
-        if not edges.isEmpty():
-            raise RuntimeError(f"components: not settled after {rounds} rounds")
-    if not maps:
-        return spark.createDataFrame([], "node long, component long")
-    label = maps[0].select("node", F.col("to").alias("root"))
-    for to in maps[1:]:
-        step = to.select(F.col("node").alias("root"), F.col("to").alias("next"))
-        label = materialize(label.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"{name}-label")
-    if len(maps) == 1:
-        return label.select("node", F.col("root").alias("component"))
-    least = materialize(label.groupBy("root").agg(F.min("node").alias("component")), f"{name}-least")
-    return label.join(least, "root").select("node", "component")
