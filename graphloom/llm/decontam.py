@@ -1,77 +1,266 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index holds, for each term that some phrase is looked up by, a posting (term, doc_id,
-positions) from the whole text of every training document, as a table in the shared folder.
-A phrase is looked up from its rarest term: collection frequencies of the benchmark's
-vocabulary are counted over all documents first, and each window of an item gets its rarest
-term and its next rarest at another offset as the terms to index. The posting list of the
-first, shifted by the term's offset, is intersected with the shifted list of the second; what
-is left is compared word by word with the document. proximity_matches() uses the same index
-for terms within a distance, in any order.
-
-A benchmark is worked off in slices of SLICE_WORDS words, each against all documents, so what
-every task holds of it is bounded. Postings join on the document, not on the term, and the
-small side of the first join (phrases) has that bound, so no frequent term meets in one task.
+positional_index() writes the postings of every term of every training document as a table in the
+shared folder, once, for any number of lookups. The table consists of segments of some
+SEGMENT_BYTES of text: a dictionary of the segment's words (hash, bytes, number of occurrences) and the
+positions of each word in ascending order. A term's list is so split by segment, however
+frequent the term; all lists that a phrase needs of a document lie in one row, so
+intersections need no shuffle, and nothing grows with a hot term but the number of segments.
+
+hits() looks phrases up. Frequencies of the benchmark's vocabulary are summed over all
+segments' dictionaries; within a segment, each window starts from the positions of its
+rarest term, moved by the term's offset, and is intersected with the moved lists of its other terms from
+the rarest to the most frequent until nothing is left or all terms have agreed: what is left are
+exact matches, and no text is read again. Positions leave a gap between documents, so no match reaches
+over two. proximity_matches() sweeps the lists of terms for their least spans in any order.
+
+Words are found by hash and taken for equal only if their bytes are: a segment gives words of one
+hash entries of their own, and a lookup compares the bytes of the dictionary.
+
+A benchmark is worked off in slices of SLICE_WORDS words, each against the index, so what every
+task holds of it is bounded.
 
 Defined cases: null and empty texts have no words, are hit by nothing and aren't contaminated;
-items without words match nothing; repeated rows of a document are judged each (of one doc_id
-and one number of words: together); repeated items count once per item_id; rows without
-doc_id can't be looked up and count as clean; an empty benchmark leaves every document clean; columns of other names are not read by hits() and
-stay in decontaminate().
+items without words match nothing; every row of docs is judged by itself, whether its doc_id is null,
+repeated or shared by other texts; repeated items count once per item_id, items without an id as
+'None'; an empty benchmark leaves every document clean, an empty table gives an empty result;
+columns of other names are not read by hits() and stay in decontaminate().
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
 WINDOW = 13
-SLICE_WORDS = 500_000
+SLICE_WORDS = 200_000
+SEGMENT_BYTES = 4 << 20
+#: Places compared at a time.
+PLACES = 1 << 20
+
+
+# --- the index -----------------------------------------------------------------------------------
+
+
+class Dictionary:
+    """Distinct words by ascending hash; words of one hash stand at the hash, then at next_hash of it, and so on."""
+
+    def __init__(self, hashes: np.ndarray, letters: np.ndarray, ends: np.ndarray):
+        self.hashes, self.letters, self.ends = hashes, letters, ends
+        self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+
+    def find(self, hashes: np.ndarray, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The entry of each word, -1 if it isn't here; letters is padded."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, hashes = np.arange(len(hashes)), hashes.copy()
+        own = c.padded(self.letters)
+        while len(left) and len(self.hashes):
+            spot = np.minimum(np.searchsorted(self.hashes, hashes[left]), len(self.hashes) - 1)
+            there = self.hashes[spot] == hashes[left]
+            left, spot = left[there], spot[there]
+            fits = (self.ends[spot] - self.starts[spot]) == sizes[left]
+            fits[fits] = c.same_ranges(own, self.starts[spot[fits]], letters, starts[left[fits]], sizes[left[fits]])
+            out[left[fits]] = spot[fits]
+            left = left[~fits]
+            hashes[left] = next_hash(hashes[left])
+        return out
+
+
+def next_hash(hashes: np.ndarray) -> np.ndarray:
+    return c.mix(hashes + np.uint64(1))
+
+
+def lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, padded; start, size and hash of each word; first word of each text and the end)."""
+    data, offsets = c.utf8(texts)
+    starts, ends = c.word_ranges(data, offsets, c.ALNUM)
+    low = c.padded(c.LOWER[data])
+    return low, starts, ends - starts, c.hash_ranges(low, starts, ends - starts), np.searchsorted(starts, offsets)
+
+
+def dictionary(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[Dictionary, np.ndarray, np.ndarray]:
+    """(distinct words, word numbers in order of entry and place, end of each entry's numbers)."""
+    hashes = hashes.copy()
+    while True:
+        order = np.argsort(hashes, kind="stable")
+        value = hashes[order]
+        new = np.ones(len(value), bool)
+        new[1:] = value[1:] != value[:-1]
+        heads = np.flatnonzero(new)
+        first = order[np.repeat(heads, np.diff(np.append(heads, len(order))))]
+        same = sizes[order] == sizes[first]
+        same[same] = c.same_ranges(low, starts[order[same]], low, starts[first[same]], sizes[order[same]])
+        if same.all():
+            break
+        odd = order[~same]
+        hashes[odd] = next_hash(hashes[odd])
+    some = order[heads]
+    upto = np.cumsum(sizes[some])
+    letters = low[np.repeat(starts[some] - upto + sizes[some], sizes[some]) + np.arange(upto[-1] if len(upto) else 0)]
+    return Dictionary(value[heads], letters, upto), order, np.append(heads, len(order))[1:]
+
+
+_SEGMENT = "segment long, keys array<{0}>, first binary, hashes binary, letters binary, letter_ends binary, ends binary, postings binary"
+
+
+def positional_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The segments of all documents, stored in the shared folder: what hits() and proximity_matches() read."""
+    c.prepare(docs.sparkSession)
+    kind = dict(docs.dtypes)[key]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        held: list[pa.RecordBatch] = []
+
+        def segment() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            keys = rows.column("doc").combine_chunks()
+            keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+            low, starts, sizes, hashes, first = lower_words(rows.column("text"))
+            words, order, ends = dictionary(low, starts, sizes, hashes)
+            row = np.searchsorted(first, order, "right") - 1
+            # differences within a list pack well; each list begins with its whole first place
+            place = (order + row).astype("<u4")
+            step = np.diff(place, prepend=np.uint32(0))
+            begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+            step[begins] = place[begins]
+            cells = [first.astype("<u4"), words.hashes.astype("<u8"), words.letters, words.ends.astype("<u4"), ends.astype("<u4")]
+            binary = [pa.array([x.tobytes()], pa.binary()) for x in cells] + [pa.array([pa.compress(step.tobytes(), "zstd", asbytes=True)], pa.binary())]
+            lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), lists, *binary], ["segment", "keys", "first", "hashes", "letters", "letter_ends", "ends", "postings"])
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= SEGMENT_BYTES:
+                yield segment()
+                held, size, number = [], 0, number + 1
+        if held:
+            yield segment()
+
+    rows = docs.select(F.col(key).alias("doc"), "text").mapInArrow(c.tidy(write), _SEGMENT.format(kind))
+    return c.materialize(rows, "positions")
+
+
+class Segment:
+    """A row of the index, read: words, and the places of each in one ascending array."""
+
+    def __init__(self, row: dict):
+        number = lambda name, kind="<u4": np.frombuffer(row[name], kind)
+        self.words = Dictionary(number("hashes", "<u8"), np.frombuffer(row["letters"], np.uint8), number("letter_ends").astype(np.int64))
+        self.ends = number("ends").astype(np.int64)
+        self.begins = np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]
+        if "postings" in row:
+            self.first = number("first").astype(np.int64)
+            self.base = self.first[:-1] + np.arange(len(self.first) - 1)
+            total = int(self.ends[-1]) if len(self.ends) else 0
+            step = np.frombuffer(pa.decompress(row["postings"], 4 * total, "zstd", asbytes=True), "<u4").astype(np.int64)
+            upto = np.cumsum(step)
+            before = np.concatenate([[0], upto])[self.begins]
+            self.places = upto - np.repeat(before, self.ends - self.begins)
+            #: (entry, place) as one ascending number
+            self.spots = (np.repeat(np.arange(len(self.ends)), self.ends - self.begins) << 32) | self.places
+
+    def rows(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, places, "right") - 1
+
+    def holds(self, entry: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether a place is in an entry's list."""
+        wanted = (entry << 32) | place
+        spot = np.minimum(np.searchsorted(self.spots, wanted), len(self.spots) - 1)
+        return (place >= 0) & (self.spots[spot] == wanted)
+
+
+# --- phrases -------------------------------------------------------------------------------------
 
 
 class Phrases:
-    """The distinct windows of a slice of items."""
+    """The distinct windows of a slice of items, as numbers of distinct words."""
 
     def __init__(self, items: list[tuple[object, str | None]], size: int = WINDOW):
-        texts = pa.array([t for _, t in items], pa.string())
-        hashes, first = c.words(*c.utf8(texts), c.ALNUM)
-        self.items: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        low, starts, sizes, hashes, first = lower_words(pa.array([t for _, t in items], pa.string()))
+        self.words, order, ends = dictionary(low, starts, sizes, hashes)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+        self.items = sorted({str(i) for i, _ in items})
+        rank = {x: i for i, x in enumerate(self.items)}
+        windows: dict[bytes, set[int]] = {}
         for (item, _), a, b in zip(items, first.tolist(), first[1:].tolist()):
-            own = hashes[a:b].tolist()
-            n = min(size, len(own))
-            for i in range(len(own) - n + 1 if n else 0):
-                self.items[tuple(own[i : i + n])].add(str(item))
-        self.windows = list(self.items)
-        self.owners = [sorted(self.items[w]) for w in self.windows]
-        self.vocabulary = np.unique(np.array([x for w in self.windows for x in set(w)], np.uint64))
-
-    def anchors(self, frequency: dict[int, int]) -> list[tuple[int, int, int, int]]:
-        """(rarest term, its offset, next rarest at another offset, that offset) of each window; of one word, itself twice."""
-        out = []
-        for w in self.windows:
-            order = sorted(range(len(w)), key=lambda i: (frequency.get(w[i], 0), i))
-            a, b = order[0], order[1 if len(order) > 1 else 0]
-            out.append((w[a], a, w[b], b))
-        return out
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+            n = min(size, b - a)
+            for i in range(a, b - n + 1 if n else a):
+                windows.setdefault(number[i : i + n].tobytes(), set()).add(rank[str(item)])
+        self.sizes = np.array([len(w) // 4 for w in windows], np.int64)
+        self.terms = np.full((len(windows), max([1, *self.sizes.tolist()])), -1, np.int32)
+        for i, w in enumerate(windows):
+            self.terms[i, : self.sizes[i]] = np.frombuffer(w, np.int32)
+        lists = [sorted(x) for x in windows.values()]
+        self.owner_ends = np.cumsum([len(x) for x in lists])
+        self.owners = np.array([y for x in lists for y in x], np.int64)
+        self.order = np.zeros_like(self.terms)
+
+    def by_frequency(self, frequency: np.ndarray) -> None:
+        """From each window's rarest term to its most frequent one."""
+        count = np.where(self.terms >= 0, frequency[self.terms], np.iinfo(np.int64).max) if len(frequency) else np.zeros(self.terms.shape)
+        self.order = np.argsort(count, axis=1, kind="stable").astype(np.int32)
+
+    def entries(self, segment: Segment) -> np.ndarray:
+        """The segment's entry of each of our words, -1 if it has none."""
+        w = self.words
+        return segment.words.find(w.hashes, c.padded(w.letters), w.starts, w.ends - w.starts)
+
+    def matches(self, segment: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place of its first word) of every exact match."""
+        none = np.zeros(0, np.int64)
+        if not len(self.terms) or not len(segment.ends):
+            return none, none
+        entry = self.entries(segment)
+        has = np.where(self.terms >= 0, entry[self.terms] >= 0, True).all(axis=1)
+        alive = np.flatnonzero(has)
+        if not len(alive):
+            return none, none
+        off = self.order[alive, 0]
+        rarest = entry[self.terms[alive, off]]
+        counts = segment.ends[rarest] - segment.begins[rarest]
+        found_window, found_place = [], []
+        cuts = np.searchsorted(np.cumsum(counts), np.arange(0, int(counts.sum()) + PLACES, PLACES), "right")
+        for a, b in zip([0, *cuts[1:-1].tolist()], [*cuts[1:-1].tolist(), len(alive)]):
+            if b <= a:
+                continue
+            n = counts[a:b]
+            upto = np.cumsum(n)
+            places = segment.places[np.repeat(segment.begins[rarest[a:b]] - upto + n, n) + np.arange(upto[-1])] - np.repeat(off[a:b], n)
+            window = np.repeat(alive[a:b], n)
+            for turn in range(1, self.terms.shape[1]):
+                at = self.order[window, turn]
+                term = self.terms[window, at]
+                asked = np.flatnonzero(term >= 0)
+                good = np.ones(len(window), bool)
+                good[asked] = segment.holds(entry[term[asked]], places[asked] + at[asked])
+                window, places = window[good], places[good]
+                if not len(window):
+                    break
+            good = places >= 0
+            found_window.append(window[good])
+            found_place.append(places[good])
+        return np.concatenate(found_window), np.concatenate(found_place)
 
 
 def _sliced(benchmark: DataFrame, words: int) -> Iterator[list[tuple[object, str | None]]]:
-    """Slices of the items, streamed to the driver; each has `words` words or one item."""
+    """Slices of the items, streamed to the driver; each has about `words` words or one item."""
     held, size = [], 0
     for row in benchmark.select("item_id", "text").distinct().toLocalIterator():
-        n = len((row["text"] or "").split())
+        n = len(row["text"] or "") // 4
         if held and size + n > words:
             yield held
             held, size = [], 0
@@ -81,184 +270,151 @@ def _sliced(benchmark: DataFrame, words: int) -> Iterator[list[tuple[object, str
         yield held
 
 
-def term_frequencies(docs: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Occurrences of each term (a word's hash) in all documents."""
+def term_frequencies(index: DataFrame, phrases: Phrases) -> np.ndarray:
+    """Occurrences of each of the phrases' words in all documents: sums over the segments' dictionaries."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
+        total = np.zeros(len(phrases.words.hashes), np.int64)
         for batch in batches:
-            hashes, _ = c.words(*c.utf8(batch.column("text")), c.ALNUM)
-            spot = np.searchsorted(terms, hashes)
-            spot[spot == len(terms)] = 0
-            total += np.bincount(spot[terms[spot] == hashes], minlength=len(terms))
+            for row in batch.to_pylist():
+                segment = Segment(row)
+                entry = phrases.entries(segment)
+                here = entry >= 0
+                total[here] += (segment.ends - segment.begins)[entry[here]]
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(_signed(terms[some])), pa.array(total[some])], ["term", "n"])
-
-    if not len(terms):
-        return {}
-    counted = docs.select("text").mapInArrow(c.tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip((x % (1 << 64) for x in counted.column("term").to_pylist()), counted.column("n").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
+    out = np.zeros(len(phrases.words.hashes), np.int64)
+    counted = index.select("hashes", "letters", "letter_ends", "ends").mapInArrow(c.tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    return out
 
-def positional_index(docs: DataFrame, terms: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """term, doc, positions: the postings of the given terms in every document, stored in the shared folder."""
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, first = c.words(*c.utf8(batch.column("text")), c.ALNUM)
-            spot = np.searchsorted(terms, hashes)
-            spot[spot == len(terms)] = 0
-            at = np.flatnonzero(terms[spot] == hashes)
-            row = np.searchsorted(first, at, "right") - 1
-            order = np.lexsort((at, hashes[at], row))
-            at, row = at[order], row[order]
-            term = hashes[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
-            starts = np.flatnonzero(new)
-            ends = np.append(starts, len(at)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((at - first[row]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(term[starts])), batch.column("doc").take(pa.array(row[starts])), lists], ["term", "doc", "positions"])
-
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("doc"), "text").mapInArrow(c.tidy(post), f"term long, doc {kind}, positions array<int>")
-    return c.materialize(rows, "postings")
-
-
-def _candidates(postings: DataFrame, phrases: Phrases, frequency: dict[int, int]) -> DataFrame:
-    """doc, found: array of (phrase, start) where both anchors stand at their offsets."""
-    spark = postings.sparkSession
-    anchors = phrases.anchors(frequency)
-    table = [(i, _long(a), x, _long(b), y) for i, (a, x, b, y) in enumerate(anchors)]
-    small = F.broadcast(spark.createDataFrame(table, "phrase int, term long, off int, term2 long, off2 int"))  # SLICE_WORDS rows at most
-    firsts = postings.join(small, "term").select("doc", "phrase", "term2", (F.col("off2") - F.col("off")).alias("gap"), "off", F.col("positions").alias("p1"))
-    seconds = postings.join(small.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").select("doc", F.col("term").alias("term2"), F.col("positions").alias("p2"))
-    both = firsts.join(seconds, ["doc", "term2"])
-    # the second list, moved to where the first term would stand, meets the first list
-    meet = F.array_intersect("p1", F.transform("p2", lambda p: p - F.col("gap")))
-    starts = F.filter(F.transform(meet, lambda p: p - F.col("off")), lambda p: p >= 0)
-    found = both.select("doc", "phrase", F.explode(starts).alias("start"))
-    return found.groupBy("doc").agg(F.collect_list(F.struct("phrase", "start")).alias("found"))
+_SPANS = "array<struct<start:int,end:int>>"
 
 
-def _long(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _lookup(index: DataFrame, phrases: Phrases) -> DataFrame:
+    """segment, row, doc, n_words, spans and items of every document of the index."""
+    kind = dict(index.dtypes)["keys"][6:-1]
 
-
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id") -> DataFrame:
-    """key, n_words, spans (array of [start, end) in words, apart from each other) and items (sorted ids as text).
-
-    One row for each row of docs; rows that share key and n_words share their spans and items.
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(phrases.items, pa.string())
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {x: batch.column(x)[i].as_py() for x in ("first", "hashes", "letters", "letter_ends", "ends", "postings")}
+                segment = Segment(row)
+                n = len(segment.base)
+                window, place = phrases.matches(segment)
+                of = segment.rows(place)
+                start = place - segment.base[of]
+                end = start + phrases.sizes[window]
+                order = np.lexsort((start, of))
+                of_sorted, start, end = of[order], start[order], end[order]
+                # spans that overlap or touch become one; a row's ends never reach into the next row's numbers
+                reach = np.maximum.accumulate((of_sorted << 32) + end) if len(end) else end
+                new = np.ones(len(order), bool)
+                new[1:] = ((of_sorted[1:] << 32) + start[1:]) > reach[:-1]
+                last = np.append(np.flatnonzero(new)[1:] - 1, len(order) - 1)[: int(new.sum())]
+                spans = pa.StructArray.from_arrays([pa.array(start[new].astype(np.int32)), pa.array((reach[last] & 0xFFFFFFFF).astype(np.int32))], ["start", "end"])
+                span_ends = np.searchsorted(of_sorted[new], np.arange(n + 1))
+                lens = np.diff(np.concatenate([[0], phrases.owner_ends]))[window] if len(window) else np.zeros(0, np.int64)
+                upto = np.cumsum(lens)
+                owner = phrases.owners[np.repeat(phrases.owner_ends[window] - upto, lens) + np.arange(upto[-1])] if len(window) else lens
+                pair = np.unique((np.repeat(of, lens) << 32) | owner)
+                item_ends = np.searchsorted(pair >> 32, np.arange(n + 1))
+                columns = [
+                    pa.array(np.full(n, batch.column("segment")[i].as_py(), np.int64)),
+                    pa.array(np.arange(n, dtype=np.int32)),
+                    batch.column("keys")[i].values,
+                    pa.array(np.diff(segment.first)),
+                    pa.ListArray.from_arrays(pa.array(span_ends.astype(np.int32)), spans),
+                    pa.ListArray.from_arrays(pa.array(item_ends.astype(np.int32)), names.take(pa.array(pair & 0xFFFFFFFF))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["segment", "row", "doc", "n_words", "spans", "items"])
+
+    return index.mapInArrow(c.tidy(find), f"segment long, row int, doc {kind}, n_words long, spans {_SPANS}, items array<string>")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
+    """key, n_words, spans (array of [start, end) in words, apart from each other) and items (sorted ids as text), a row for each row of docs.
+
+    index: that of positional_index(docs, key), if it is there already.
     """
     spark = c.prepare(docs.sparkSession)
-    kind = dict(docs.dtypes)[key]
+    index = positional_index(docs, key) if index is None else index
     parts = []
     for items in _sliced(benchmark, SLICE_WORDS):
         phrases = Phrases(items, size)
-        if not phrases.windows:
-            continue
-        frequency = term_frequencies(docs, phrases.vocabulary)
-        terms = np.unique(np.array([x for a in phrases.anchors(frequency) for x in (a[0], a[2]) if frequency.get(a[0])], np.uint64))
-        if not len(terms):
-            continue
-        postings = positional_index(docs, terms, key)
-        found = c.materialize(_candidates(postings, phrases, frequency), "phrase-candidates")
-        parts.append(c.materialize(_verified(docs, found, phrases, key), "phrase-hits"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, first = c.words(*c.utf8(batch.column("text")), c.ALNUM)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.diff(first))], ["doc", "n_words"])
-
-    sized = docs.select(F.col(key).alias("doc"), "text").mapInArrow(c.tidy(count), f"doc {kind}, n_words long")
-    if not parts:
-        return sized.select(F.col("doc").alias(key), "n_words", F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    every = parts[0]
+        if len(phrases.terms):
+            phrases.by_frequency(term_frequencies(index, phrases))
+            parts.append(_lookup(index, phrases))
+    if len(parts) < 2:
+        found = parts[0] if parts else _lookup(index, Phrases([], size))
+        return found.select(F.col("doc").alias(key), "n_words", "spans", "items")
+    parts = [c.materialize(p.where("size(spans) > 0") if i else p, "phrase-hits") for i, p in enumerate(parts)]
+    rows = parts[0].where("size(spans) > 0")
     for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("doc", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    every = c.materialize(every.withColumn("spans", _merged(F.col("spans"))).withColumn("items", F.array_sort(F.array_distinct("items"))), "hits")
-    out = sized.join(c.small(every), ["doc", "n_words"], "left")
-    return out.select(F.col("doc").alias(key), "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+        rows = rows.unionByName(p)
+    both = rows.groupBy("segment", "row").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    both = c.materialize(both.select("segment", "row", _merged(F.col("s")).alias("s"), F.array_sort(F.array_distinct("i")).alias("i")), "hits")
+    every = parts[0].join(c.small(both), ["segment", "row"], "left")
+    return every.select(F.col("doc").alias(key), "n_words", F.coalesce("s", "spans").alias("spans"), F.coalesce("i", "items").alias("items"))
 
 
 def _merged(spans):
     """Spans in order, those that overlap or touch as one."""
-    kind = "array<struct<start:int,end:int>>"
-    start = F.expr(f"cast(array() as {kind})")
+    start = F.expr(f"cast(array() as {_SPANS})")
 
     def add(acc, x):
         last = F.element_at(acc, -1)
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), grown).otherwise(F.concat(acc, F.array(x))).cast(kind)
+        return F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]), grown).otherwise(F.concat(acc, F.array(x))).cast(_SPANS)
 
     return F.aggregate(F.array_sort(spans), start, add)
 
 
-def _verified(docs: DataFrame, found: DataFrame, phrases: Phrases, key: str) -> DataFrame:
-    """doc, n_words, spans, items of the documents with a whole window, from candidates checked on the text."""
-    kind = dict(docs.dtypes)[key]
-    own = docs.select(F.col(key).alias("doc"), "text").join(c.small(found), "doc").select("doc", "text", "found")
-    wanted = [np.array(w, np.uint64) for w in phrases.windows]
-    owners = phrases.owners
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, first = c.words(*c.utf8(batch.column("text")), c.ALNUM)
-            keep, sizes, spans, items = [], [], [], []
-            for r, cell in enumerate(batch.column("found")):
-                own_words = hashes[first[r] : first[r + 1]]
-                names: set[str] = set()
-                got = []
-                phrase, start = cell.values.field("phrase").to_numpy(), cell.values.field("start").to_numpy()
-                for p, s in zip(phrase.tolist(), start.tolist()):
-                    w = wanted[p]
-                    if s + len(w) <= len(own_words) and np.array_equal(own_words[s : s + len(w)], w):
-                        names.update(owners[p])
-                        got.append((s, s + len(w)))
-                if got:
-                    merged: list[list[int]] = []
-                    for a, b in sorted(got):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    keep.append(r)
-                    sizes.append(len(own_words))
-                    spans.append([{"start": a, "end": b} for a, b in merged])
-                    items.append(sorted(names))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                ["doc", "n_words", "spans", "items"],
-            )
-
-    return own.mapInArrow(c.tidy(check), f"doc {kind}, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
-
-
-def proximity_matches(docs: DataFrame, terms: list[str], within: int, key: str = "doc_id") -> DataFrame:
+def proximity_matches(docs: DataFrame, terms: list[str], within: int, key: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
     """key, start, end: the least spans of at most `within` words that hold all the terms in any order."""
     c.prepare(docs.sparkSession)
-    wanted = np.unique(np.array([c.hash_word(t, c.ALNUM) for t in terms], np.uint64))
-    postings = positional_index(docs, wanted, key)
-    lists = postings.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("term", "positions")).alias("lists")).where(F.col("n") >= len(wanted)).select("doc", "lists")
-    kind = dict(docs.dtypes)[key]
+    index = positional_index(docs, key) if index is None else index
+    kind = dict(index.dtypes)["keys"][6:-1]
+    phrases = Phrases([(0, " ".join(terms))], 1)
+    n_terms = len(phrases.words.hashes)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, starts, ends = [], [], []
-            for r, lists in enumerate(batch.column("lists").to_pylist()):
-                spots = sorted((p, x["term"]) for x in lists for p in x["positions"])
-                last: dict[int, int] = {}
-                for p, term in spots:
-                    last[term] = p
+            for i in range(batch.num_rows):
+                segment = Segment({x: batch.column(x)[i].as_py() for x in ("first", "hashes", "letters", "letter_ends", "ends", "postings")})
+                entry = phrases.entries(segment)
+                if not n_terms or (entry < 0).any():
+                    continue
+                lists = [segment.places[segment.begins[e] : segment.ends[e]] for e in entry.tolist()]
+                # rows that hold every term, from the rarest on
+                rows = np.unique(segment.rows(min(lists, key=len)))
+                for x in sorted(lists, key=len)[1:]:
+                    rows = np.intersect1d(rows, segment.rows(x))
+                lists = [x[np.isin(segment.rows(x), rows)] for x in lists]
+                place = np.concatenate(lists)
+                term = np.repeat(np.arange(n_terms), [len(x) for x in lists])
+                order = np.argsort(place)
+                out: list[tuple[int, int, int]] = []
+                row, last = -1, {}
+                for p, t, r in zip(place[order].tolist(), term[order].tolist(), segment.rows(place[order]).tolist()):
+                    if r != row:
+                        row, last = r, {}
+                    last[t] = p
                     low = min(last.values())
-                    if len(last) == len(wanted) and p - low < within and not (rows and rows[-1] == r and starts[-1] == low):
-                        rows.append(r)
-                        starts.append(low)
-                        ends.append(p + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc", "start", "end"])
+                    if len(last) == n_terms and p - low < within and not (out and out[-1][:2] == (r, low)):
+                        out.append((r, low, p + 1))
+                got = np.array(out, np.int64).reshape(-1, 3)
+                base = segment.base[got[:, 0]]
+                keys = batch.column("keys")[i].values.take(pa.array(got[:, 0]))
+                yield pa.RecordBatch.from_arrays([keys, pa.array((got[:, 1] - base).astype(np.int32)), pa.array((got[:, 2] - base).astype(np.int32))], ["doc", "start", "end"])
+
+    return index.mapInArrow(c.tidy(sweep), f"doc {kind}, start int, end int").withColumnRenamed("doc", key)
+
 
-    return lists.mapInArrow(c.tidy(sweep), f"doc {kind}, start int, end int").withColumnRenamed("doc", key)
+# --- verdicts ------------------------------------------------------------------------------------
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -273,10 +429,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose document isn't contaminated. Rows of a contaminated doc_id go together."""
-    bad = judged(hits(docs.select("doc_id", "text"), benchmark)).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    bad = c.small(c.materialize(bad, "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs whose text isn't contaminated; the text is told by two hashes of it."""
+    key = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    found = judged(hits(docs.select(key.alias("text_key"), "text"), benchmark, key="text_key"))
+    bad = c.materialize(found.where("contaminated").select(F.col("text_key.h1").alias("_h1"), F.col("text_key.h2").alias("_h2")).distinct(), "contaminated")
+    return docs.join(c.small(bad), (F.xxhash64(docs["text"]) == F.col("_h1")) & (F.xxhash64(F.lit(1), docs["text"]) == F.col("_h2")), "left_anti")
 
 
 #: What digest() gives for a document without hits.
