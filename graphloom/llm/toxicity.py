@@ -3,19 +3,25 @@
 Words become symbols: insult (with a weight), threat, target, negation, reported speech or none.
 Three transducers are composed over a clause's symbols: negation turns an insult or threat soon
 after it into its negated form, reported speech into its reported form, and a target before an
-insult, or close behind, marks it as aimed at someone. What comes out is weighed by
-clause, so a matched clause counts and an isolated word only for what its clause makes of it.
+insult or threat, or close behind, marks it as aimed at someone. What comes out is weighed by
+clause, so a matched clause counts and an isolated word only for what its clause makes of it: a negated
+insult or threat counts for nothing.
 
-The insult transducer's stems and weights are learned from labelled rows: beginnings of words and
-whole words that occur in toxic documents far more often than in others, with near copies of
+A word is a run of letters and digits; an apostrophe, straight or curly, between two of them is left out
+(don't is dont), and quotes, dashes and other marks part words, whether they are ASCII or not. A-Z and the
+accented capitals of Latin-1 are read as small letters.
+
+The insult transducer has fixed seeds, and stems and weights learned from labelled rows: beginnings of
+words and whole words that occur in toxic documents far more often than in others, with near copies of
 a training document left out, as their words would look like insults. A logistic model over the
-clause sums gives the score. Training reads at most TRAIN_ROWS labelled documents of either
+clause sums gives the score; it starts from the grammar's own weights, so patterns that no
+label shows keep theirs. Training reads at most TRAIN_ROWS labelled documents of either
 class, the first by a hash of their id, none longer than TRAIN_BYTES; scoring reads every whole text.
 
 Labels, lang, source and doc_id are never inputs of a score. Defined cases: null and empty texts
-match nothing and get the score of no match; repeated rows get equal scores; null labels are
-ignored, of several labels of a document the largest counts; without labelled rows of both
-classes the fixed seeds stand for the learned stems; an empty table gives an empty result;
+match nothing and get the score of no match; repeated rows get equal scores and are learned from once; null labels are
+ignored, of several labels of a document the largest counts, of several texts of a labelled doc_id one; without labelled rows of both
+classes the seeds and the grammar's own weights decide; an empty table gives an empty result;
 other columns are left alone.
 """
 
@@ -35,16 +41,17 @@ from .neardup import registers
 from .quality import held_out
 
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 1_000_000
+TRAIN_BYTES = 32_000
 THRESHOLD = 0.5
 STEM = range(3, 9)
 
-# Closed word classes in four languages.
-TARGETS = "you your yours youre u ur he him she her they them their these those people du dich dir dein deine ihr euch euer er ihn sie ihnen tu te toi ton ta vous votre il lui elle eux leur tú ti tus usted ustedes él ella ellos ellas vosotros".split()
-NEGATIONS = "not no never none nobody isnt arent wasnt dont doesnt didnt cannot nicht kein keine keinen nie niemals nein pas jamais non ni nunca jamás tampoco".split()
-REPORTED = "said says say told wrote writes claimed claims called calls quoted quotes according sagte sagt schrieb schreibt nannte laut dit disait écrit appelle selon dijo dice escribió llama llamó según".split()
-THREATS = "kill killed hurt beat burn destroy shoot stab hang strangle töten umbringen schlagen verbrennen vernichten tuer frapper brûler détruire matar golpear quemar destruir".split()
-SEEDS = "idiot moron stupid loser scum trash worthless pathetic disgusting dumm trottel imbécile débile estúpido tonto".split()
+# Closed word classes in four languages, written without apostrophes, and insults and threats known without labels.
+TARGETS = "you your yours youre youve u ur he him his she her hers they them their theyre these those people du dich dir dein deine deiner ihr euch euer er ihn ihm sie ihnen tu te toi ton ta tes vous votre vos il lui elle eux leur leurs tú ti tus usted ustedes él ella ellos ellas vosotros".split()
+NEGATIONS = "not no never none nobody neither nor without isnt arent aint wasnt werent dont doesnt didnt cannot cant couldnt wont wouldnt shouldnt hasnt havent hadnt nicht kein keine keinen keiner keinem nie niemals nein weder pas jamais non ni aucun aucune nest nunca jamás tampoco ningún ninguna".split()
+REPORTED = "said says say told tells wrote writes claimed claims called calls quoted quotes quote according reportedly allegedly sagte sagt schrieb schreibt nannte nennt behauptet laut dit disait écrit appelle selon prétend dijo dice escribió llama llamó según afirma".split()
+THREATS = "kill killed kills hurt beat burn destroy shoot stab hang strangle murder punch töten töte umbringen schlagen verbrennen vernichten erschießen tuer tuerai frapper brûler détruire poignarder matar mataré golpear quemar destruir disparar".split()
+SEEDS = "idiot idiots idiotic moron morons stupid loser losers scum trash garbage worthless pathetic disgusting dumb clown fool imbecile dumm dummkopf trottel idioten depp abschaum imbécile débile idiote crétin abruti estúpido estúpida idiota imbécil tonto tonta basura escoria".split()
+SEED_WEIGHT = 3.0
 
 NONE, INSULT, THREAT, TARGET, NEGATED, SPEECH = range(6)
 
@@ -63,11 +70,23 @@ class Transducer:
 NEGATION = Transducer({**{(s, NEGATED): (3, NONE) for s in range(4)}, **{(s, x): (s - 1, ("negated", x)) for s in (1, 2, 3) for x in (INSULT, THREAT)}}, {3: 2, 2: 1, 1: 0})
 #: Up to the clause's end.
 SPEAKING = Transducer({**{(s, SPEECH): (1, NONE) for s in (0, 1)}, **{(1, x): (1, ("reported", x)) for x in (INSULT, THREAT)}}, {})
-#: State 0: no target yet; 4: one seen; 1 to 3: an insult waits that many words for its target.
-AIM = Transducer({**{(s, TARGET): (4, "late target" if 0 < s < 4 else NONE) for s in range(5)}, (4, INSULT): (4, ("aimed", INSULT)), **{(s, INSULT): (3, INSULT) for s in range(4)}}, {3: 2, 2: 1, 1: 0})
+#: State 0: no target yet; 4: one seen; 1 to 3: an insult, 5 to 7: a threat waits that many words (less 4) for its target.
+AIM = Transducer(
+    {
+        **{(s, TARGET): (4, ("late", INSULT) if 0 < s < 4 else ("late", THREAT) if s > 4 else NONE) for s in range(8)},
+        **{(s, INSULT): (3, INSULT) for s in range(8)},
+        **{(s, THREAT): (7, THREAT) for s in range(8)},
+        **{(4, x): (4, ("aimed", x)) for x in (INSULT, THREAT)},
+    },
+    {3: 2, 2: 1, 1: 0, 7: 6, 6: 5, 5: 0},
+)
 CHAIN = (NEGATION, SPEAKING, AIM)
-OUTPUTS = {INSULT: 0, ("aimed", INSULT): 1, ("negated", INSULT): 2, ("reported", INSULT): 3, THREAT: 4, ("negated", THREAT): 5, ("reported", THREAT): 5, "late target": 6}
-FEATURES = 10
+OUTPUTS = {x: i for i, x in enumerate((INSULT, ("aimed", INSULT), ("late", INSULT), ("reported", INSULT), THREAT, ("aimed", THREAT), ("late", THREAT), ("reported", THREAT), ("negated", INSULT), ("negated", THREAT)))}
+#: Behind the outputs: matched clauses, all insults, insults in a hundred words. Negated ones count for nothing.
+CLAUSES, INSULTS, SHARE, FEATURES = 10, 11, 12, 13
+#: The grammar's own weights of log(1 + feature), and bias.
+OWN = np.array([0.8, 1.2, 0.6, 0.2, 0.4, 4.0, 4.0, 0.2, 0.0, 0.0, 0.2, 0.8, 0.0])
+OWN_BIAS = -2.6
 
 
 def composed() -> tuple[np.ndarray, np.ndarray]:
@@ -91,89 +110,94 @@ def composed() -> tuple[np.ndarray, np.ndarray]:
     return np.array(step), np.array(out)
 
 
-_LETTERS = c.ALNUM[1]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(x) for x in ".!?;\n\r"]] = True
 
 
-def _key(word: str) -> int:
-    """The first 8 bytes of a word as a number, the first lowest."""
-    return int.from_bytes(word.encode()[:8].ljust(8, b"\0"), "little")
-
-
-def _mask(n: int) -> np.uint64:
-    return np.uint64((1 << (8 * n)) - 1)
+def normalized(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes in small letters, marks that aren't ASCII as spaces, apostrophes within words left out; and the offsets of the texts in them."""
+    low = c.LOWER[data]
+    n = len(low)
+    out = np.ones(n, bool)
+    if (low >= 0xC2).any():
+        lead = np.flatnonzero(low == 0xC3)
+        lead = lead[lead + 1 < n]
+        capital = lead[(low[lead + 1] >= 0x80) & (low[lead + 1] <= 0x9E) & (low[lead + 1] != 0x97)] + 1
+        low[capital] += 0x20
+        # U+0080 to U+00BF but for the letters of it; general punctuation; marks of CJK
+        for first, second, size in ((0xC2, range(0x80, 0xC0), 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3)):
+            spot = np.flatnonzero(low == first)
+            spot = spot[spot + size <= n]
+            spot = spot[np.isin(low[spot + 1], list(second))]
+            if first == 0xC2:
+                spot = spot[~np.isin(low[spot + 1], [0xAA, 0xB5, 0xBA])]
+            if first == 0xE2:  # a curly apostrophe is a straight one
+                curly = spot[(low[spot + 1] == 0x80) & (low[spot + 2] == 0x99)]
+                spot = np.setdiff1d(spot, curly, assume_unique=True)
+                low[curly] = 0x27
+                out[curly + 1] = out[curly + 2] = False
+            for i in range(size):
+                low[spot + i] = 0x20
+    if not out.all():
+        offsets = np.concatenate([[0], np.cumsum(out)])[offsets]
+        low, out = low[out], np.ones(int(out.sum()), bool)
+    mark = np.flatnonzero(low == 0x27)
+    mark = mark[(mark > 0) & (mark < len(low) - 1)]
+    inner = mark[c.ALNUM[low[mark - 1]] & c.ALNUM[low[mark + 1]] & ~np.isin(mark, offsets) & ~np.isin(mark + 1, offsets)]
+    if len(inner):
+        out[inner] = False
+        offsets = np.concatenate([[0], np.cumsum(out)])[offsets]
+        low = low[out]
+    return low, offsets
 
 
 class Lexicon:
-    """Symbols of words by their first 8 bytes: whole words, and stems by their length in bytes."""
+    """Symbols of words: whole words, and stems of up to 8 bytes by their length."""
 
     def __init__(self, stems: dict[str, float], words: dict[str, float]):
         self.by_length: dict[int, dict[int, float]] = {}
         for s, w in stems.items():
-            n = min(8, len(s.encode()))
-            self.by_length.setdefault(n, {})[_key(s)] = w
-        self.whole = {_key(w): x for w, x in words.items()}
-        self.threats = {_key(w) for w in THREATS}
-        self.classes = {**{_key(w): TARGET for w in TARGETS}, **{_key(w): NEGATED for w in NEGATIONS}, **{_key(w): SPEECH for w in REPORTED}}
-        self.sieves = {n: self._sieve(keys) for n, keys in self.by_length.items()}
-        self.exact = self._sieve({**self.whole, **dict.fromkeys(self.threats, 0.0)})
+            raw = s.encode()
+            self.by_length.setdefault(len(raw), {})[int.from_bytes(raw.ljust(8, b"\0"), "little")] = w
+        self.whole = {**dict.fromkeys((w.encode() for w in SEEDS), SEED_WEIGHT), **{w.encode(): x for w, x in words.items()}}
+        self.threats = {w.encode() for w in THREATS}
+        self.classes = {**{w.encode(): TARGET for w in TARGETS}, **{w.encode(): NEGATED for w in NEGATIONS}, **{w.encode(): SPEECH for w in REPORTED}}
+        self.sieves = {n: self._sieve(np.array(list(keys), np.uint64)) for n, keys in self.by_length.items()}
+        known = pa.array([w.decode() for w in (*self.whole, *self.threats)], pa.string())
+        data, offsets = c.utf8(known)
+        self.exact = self._sieve(c.hash_ranges(c.padded(data), offsets[:-1], np.diff(offsets)))
 
     @staticmethod
     def _slots(keys: np.ndarray) -> np.ndarray:
         return ((keys * c._GOLD) >> np.uint64(48)).astype(np.int64)
 
-    def _sieve(self, keys: dict[int, float]) -> np.ndarray:
+    def _sieve(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(1 << 16, bool)
-        if keys:
-            out[self._slots(np.array(list(keys), np.uint64))] = True
+        out[self._slots(keys)] = True
         return out
 
-    def hits(self, keys: np.ndarray) -> dict[int, tuple[int, float]]:
-        """Word number to (insult or threat, weight)."""
+    def hits(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[int, float]]:
+        """Word number to (insult or threat, weight); data is padded."""
         found: dict[int, tuple[int, float]] = {}
+        head = c.eights(data)[starts] & c._KEEP[np.minimum(sizes, 8)]
         for n, sieve in self.sieves.items():
-            cut = keys & _mask(n)
-            for i in np.flatnonzero(sieve[self._slots(cut)]).tolist():
+            cut = head & c._KEEP[n]
+            for i in np.flatnonzero(sieve[self._slots(cut)] & (sizes >= n)).tolist():
                 w = self.by_length[n].get(int(cut[i]))
                 if w is not None and w > found.get(i, (0, 0.0))[1]:
                     found[i] = (INSULT, w)
-        for i in np.flatnonzero(self.exact[self._slots(keys)]).tolist():
-            k = int(keys[i])
-            w = self.whole.get(k)
+        for i in np.flatnonzero(self.exact[self._slots(c.hash_ranges(data, starts, sizes))]).tolist():
+            word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+            w = self.whole.get(word)
             if w is not None and w > found.get(i, (0, 0.0))[1]:
                 found[i] = (INSULT, w)
-            elif k in self.threats and i not in found:
+            elif word in self.threats and i not in found:
                 found[i] = (THREAT, 1.0)
         return found
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first 8 bytes of each word, its clause, the first word of each text and the end)."""
-    inside = _LETTERS[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    starts_of_texts = offsets[:-1][offsets[:-1] < len(data)]
-    first[starts_of_texts] = inside[starts_of_texts]
-    starts = np.flatnonzero(first)
-    bounds = np.concatenate([np.flatnonzero(_ENDS[data]), starts_of_texts - 0.5])
-    bounds.sort()
-    clause = np.searchsorted(bounds, starts)
-    padded = np.concatenate([_LOWER[data], np.zeros(8, np.uint8)])
-    alive = np.concatenate([inside, np.zeros(8, bool)])
-    text_end = np.zeros(len(padded) + 1, bool)
-    text_end[offsets] = True
-    key, going = padded[starts].astype(np.uint64), np.ones(len(starts), bool)
-    for j in range(1, 8):
-        going &= alive[starts + j] & ~text_end[starts + j]
-        key |= np.where(going, padded[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
-    return key, clause, np.searchsorted(starts, offsets)
-
-
 class Grammar:
-    def __init__(self, lexicon: Lexicon, weights: np.ndarray, bias: float):
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray = OWN, bias: float = OWN_BIAS):
         self.lexicon, self.weights, self.bias = lexicon, weights, bias
         self.step, self.out = (x.tolist() for x in composed())
 
@@ -190,28 +214,33 @@ class Grammar:
         return out
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
-        keys, clause, first = _words(data, offsets)
-        found = self.lexicon.hits(keys)
+        low, offsets = normalized(data, offsets)
+        starts, ends = c.word_ranges(low, offsets, c.ALNUM)
+        sizes, first, own_bytes = ends - starts, np.searchsorted(starts, offsets), c.padded(low)
+        found = self.lexicon.hits(own_bytes, starts, sizes)
         if not found:
             return
+        bounds = np.union1d(np.flatnonzero(_ENDS[low]), offsets - 0.5)
         spots = np.array(sorted(found))
-        clauses = np.unique(clause[spots])
-        lows, highs = np.searchsorted(clause, clauses), np.searchsorted(clause, clauses, "right")
+        clause_of = np.searchsorted(bounds, starts)
+        clauses = np.unique(clause_of[spots])
+        lows, highs = np.searchsorted(clause_of, clauses), np.searchsorted(clause_of, clauses, "right")
         rows = np.searchsorted(first, lows, "right") - 1
         classes = self.lexicon.classes
         for a, b, r in zip(lows.tolist(), highs.tolist(), rows.tolist()):
-            state, own = 0, out[r]
-            for i, k in zip(range(a, b), keys[a:b].tolist()):
-                symbol, weight = found.get(i) or (classes.get(k, NONE), 1.0)
+            state, own, matched = 0, out[r], False
+            for i, x, y in zip(range(a, b), starts[a:b].tolist(), ends[a:b].tolist()):
+                symbol, weight = found.get(i) or (classes.get(own_bytes[x:y].tobytes(), NONE), 1.0)
                 o = self.out[state][symbol]
                 state = self.step[state][symbol]
                 if o >= 0:
                     own[o] += weight
-            own[7] += 1
+                    matched |= o < 8
+            own[CLAUSES] += matched
         n = np.maximum(1, np.diff(first))
         insults = out[:, :4].sum(1)
-        out[:, 8] = np.log1p(insults)
-        out[:, 9] = np.log1p(100 * insults / n)
+        out[:, INSULTS] = insults
+        out[:, SHARE] = 100 * insults / n
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-(np.log1p(self.features(texts)) @ self.weights + self.bias)))
@@ -233,15 +262,16 @@ def _unlike(texts: list[str]) -> list[int]:
 
 
 def learn_stems(toxic: list[str], other: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """Stems (STEM characters) and whole words of up to 8 bytes that tell toxic texts from others, with log-odds."""
+    """Stems (STEM characters, up to 8 bytes) and whole words that tell toxic texts from others, with log-odds."""
     import re
 
     word = re.compile(r"[^\W_]+")
 
     def candidates(text: str) -> set[str]:
         got = set()
-        for w in set(word.findall(text.translate({i: i + 32 for i in range(65, 91)}))):
-            if len(w.encode()) <= 8:
+        low, _ = normalized(*c.utf8(pa.array([text])))
+        for w in set(word.findall(low.tobytes().decode("utf-8", "ignore"))):
+            if len(w.encode()) <= 64:
                 got.add("=" + w)
             got.update(w[:n] for n in STEM if n <= len(w) and len(w[:n].encode()) <= 8)
         return got
@@ -272,31 +302,33 @@ def learn_stems(toxic: list[str], other: list[str]) -> tuple[dict[str, float], d
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, rows: int = TRAIN_ROWS) -> Grammar:
     c.prepare(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
-    known = known.groupBy("doc_id").agg((F.max(label) > 0).alias("y"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max(label) > 0).alias("y"))
     texts: dict[bool, list[str]] = {}
     for y in (True, False):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-        got = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(some), "doc_id").select("doc_id", "text").toArrow().sort_by("doc_id")
+        own_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(some), "doc_id")
+        got = own_rows.groupBy("doc_id").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
         own = [x for x in got.column("text").to_pylist() if x]
         texts[y] = [own[i] for i in _unlike(own)]
     toxic, other = texts[True], texts[False]
     if not toxic or not other:
-        grammar = Grammar(Lexicon({}, dict.fromkeys(SEEDS, 3.0)), np.zeros(FEATURES), -2.0)
-        grammar.weights[[8, 1, 4]] = 1.5, 0.5, 0.5
-        return grammar
-    grammar = Grammar(Lexicon(*learn_stems(toxic, other)), np.zeros(FEATURES), 0.0)
+        return Grammar(Lexicon({}, {}))
+    grammar = Grammar(Lexicon(*learn_stems(toxic, other)))
     x = np.log1p(grammar.features(pa.array(toxic + other, pa.string())))
     y = np.array([1.0] * len(toxic) + [0.0] * len(other))
     balance = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(other))
-    w = np.zeros(FEATURES + 1)
+    own = np.append(OWN, OWN_BIAS)
+    w = own.copy()
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    for _ in range(30):  # Newton steps on the penalised log-likelihood
+    ridge = np.full(FEATURES + 1, 1e-3)
+    for _ in range(30):  # Newton steps on the log-likelihood, penalised by the distance from the grammar's own weights
         p = 1 / (1 + np.exp(-x1 @ w))
-        ridge = np.full(FEATURES + 1, 1e-4)
-        ridge[-1] = 0
-        gradient = x1.T @ (balance * (p - y)) + ridge * w
-        hessian = (x1 * (balance * p * (1 - p))[:, None]).T @ x1 + np.diag(ridge + 1e-9)
+        gradient = x1.T @ (balance * (p - y)) + ridge * (w - own)
+        hessian = (x1 * (balance * p * (1 - p))[:, None]).T @ x1 + np.diag(ridge)
         w -= np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+    # what the pattern says can add to a score only, and negated matches add nothing
+    w[:FEATURES] = np.maximum(w[:FEATURES], 0)
+    w[[OUTPUTS["negated", INSULT], OUTPUTS["negated", THREAT]]] = 0
     grammar.weights, grammar.bias = w[:-1], float(w[-1])
     return grammar
 
