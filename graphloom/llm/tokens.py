@@ -2,7 +2,8 @@
 
 Encoding gives exactly the ids of the tokenizers library. Byte-level BPE never merges across
 the pieces of its pre-tokenizer, so texts are cut into pieces in numpy, the library encodes
-each distinct piece once per worker, and ids are gathered from that table. A tokenizer of
+each distinct piece once per worker, and ids are gathered from that table. A piece is looked up
+by hash and its bytes are compared with those of the entry before the entry counts. A tokenizer of
 another kind, or a text that holds one of its added tokens, goes to the library whole.
 
 A shard of the file format holds whole documents in ascending doc_id order:
@@ -12,27 +13,29 @@ A shard of the file format holds whole documents in ascending doc_id order:
     bitmap with a rank directory of one count per 512 bits | crc32 of all before
 
 Level 1 has the lowest 8 bits of every id; where the bitmap has a 1, the id goes on in the
-next level at the index that rank gives. So the i-th id is read with a rank per level and
-no block is decoded. Shards are binary cells of a Parquet table, so they can be in any store
-that Spark writes; save_shard() and open_shard() keep one in a plain file instead.
+next level at the index that rank gives. So the i-th id is read with a rank per level, ids a to b
+with two, and no block is decoded. Each shard is a plain file in the shared folder, of any store that
+pyarrow opens (file, hdfs, s3, gs); a table lists the files that committed tasks wrote, so
+those of a lost or repeated attempt are never read. Documents are read back by rank.
 
 Defined cases: null and empty texts have the end id only; repeated rows are encoded
-each; rows without doc_id come first; equal doc_ids follow each other in any order; an
-empty table gives an empty result; columns of other names are not read.
+each; rows without doc_id come first; rows of equal or no doc_id follow each other in any order
+and may be dealt over several tasks; an empty table gives an empty result; columns of other names are not read.
 """
 
 from __future__ import annotations
 
 import json
-import mmap
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,29 +137,33 @@ class Encoder:
 
     def _reset(self) -> None:
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.begin = np.zeros(1 << 16, np.int32)
-        self.length = np.zeros(1 << 16, np.int32)
-        self.pieces = self.used = 0
+        self.letters = np.zeros(1 << 18, np.uint8)
+        #: of each row: first id, number of ids, first byte, number of bytes
+        self.about = np.zeros((4, 1 << 16), np.int32)
+        self.pieces = self.used = self.bytes = 0
         self.keys = [np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)]
         self.rows = [np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)]
 
-    def _add(self, texts: list[str]) -> np.ndarray:
+    def _add(self, some: list[bytes]) -> np.ndarray:
         """Encode pieces with the library; their rows in the table."""
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int32, len(lists))
-        total, at = int(lengths.sum()), self.pieces
-        while at + len(lists) > len(self.begin):
-            self.begin, self.length = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.length, 2 * len(self.length))
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)]
+        lengths, sizes = np.fromiter(map(len, lists), np.int32, len(lists)), np.fromiter(map(len, some), np.int32, len(some))
+        total, at, size = int(lengths.sum()), self.pieces, int(sizes.sum())
+        while at + len(lists) > self.about.shape[1]:
+            self.about = np.hstack([self.about, np.zeros_like(self.about)])
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
+        while self.bytes + size + 8 > len(self.letters):
+            self.letters = np.resize(self.letters, 2 * len(self.letters))
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
-        self.length[at : at + len(lists)] = lengths
-        self.begin[at : at + len(lists)] = self.used + np.cumsum(lengths) - lengths
-        self.pieces, self.used = at + len(lists), self.used + total
+        self.letters[self.bytes : self.bytes + size] = np.frombuffer(b"".join(some), np.uint8)
+        self.about[:, at : at + len(lists)] = [self.used + np.cumsum(lengths) - lengths, lengths, self.bytes + np.cumsum(sizes) - sizes, sizes]
+        self.pieces, self.used, self.bytes = at + len(lists), self.used + total, self.bytes + size
         return np.arange(at, self.pieces)
 
-    def _rows(self, key: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: str) -> np.ndarray:
-        """The table row of each piece: two places to look in; what is in neither is encoded."""
+    def _rows(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The table row of each piece: two places to look in by hash; what is in neither is encoded."""
+        key = c.hash_ranges(data, starts, sizes) | np.uint64(1 << 63)
         mask = np.uint64(SLOTS - 1)
         slots = [(key & mask).astype(np.int64), ((key >> np.uint64(24)) & mask).astype(np.int64)]
         row = self.rows[0][slots[0]].astype(np.int64)
@@ -164,21 +171,25 @@ class Encoder:
         other = slots[1][missed]
         row[missed] = self.rows[1][other]
         missed = missed[self.keys[1][other] != key[missed]]
-        if not len(missed):
-            return row
-        distinct, at, inverse = np.unique(key[missed], return_index=True, return_inverse=True)
-        if self.pieces + len(distinct) > CACHE and self.pieces:
-            self._reset()
-            return self._rows(key, starts, ends, joined)
-        first = missed[at]
-        found = self._add([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-        taken = self.keys[0][slots[0][first]] != 0
-        for way, some in ((0, ~taken), (1, taken)):
-            own = slots[way][first[some]]
-            self.rows[way][own] = found[some]
-            self.keys[way][own] = distinct[some]
-            # of pieces that share a place the last one stays; rows and keys are written in the same order
-        row[missed] = found[inverse]
+        if len(missed):
+            distinct, at, inverse = np.unique(key[missed], return_index=True, return_inverse=True)
+            if self.pieces + len(distinct) > CACHE and self.pieces:
+                self._reset()
+                return self._rows(data, starts, sizes)
+            first = missed[at]
+            found = self._add([data[a : a + n].tobytes() for a, n in zip(starts[first].tolist(), sizes[first].tolist())])
+            taken = self.keys[0][slots[0][first]] != 0
+            for way, some in ((0, ~taken), (1, taken)):
+                own = slots[way][first[some]]
+                self.rows[way][own] = found[some]
+                self.keys[way][own] = distinct[some]
+                # of pieces that share a place the last one stays; rows and keys are written in the same order
+            row[missed] = found[inverse]
+        same = self.about[3][row] == sizes
+        same[same] = c.same_ranges(data, starts[same], self.letters, self.about[2][row[same]].astype(np.int64), sizes[same])
+        odd = np.flatnonzero(~same)
+        if len(odd):  # another piece of this hash has the entry
+            row[odd] = self._add([data[a : a + n].tobytes() for a, n in zip(starts[odd].tolist(), sizes[odd].tolist())])
         return row
 
     def _some(self, texts: list[str], want_ids: bool) -> tuple[np.ndarray | None, np.ndarray]:
@@ -189,21 +200,17 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = pieces(codes, np.unique(bounds[:-1][sizes > 0]))
-        ends = np.append(starts[1:], len(codes))
-        value = (codes.astype(np.uint64) + np.uint64(1)) * c._GOLD
-        value *= c._power(c._P, len(codes))
-        np.cumsum(value, out=value)
-        key = value[ends - 1]
-        key[1:] -= value[starts[1:] - 1]
-        key *= c._power(c._PINV, len(codes))[starts]
-        key = c.mix(key ^ (ends - starts).astype(np.uint64)) | np.uint64(1 << 63)
-        row = self._rows(key, starts, ends, joined)
-        lengths = self.length[row].astype(np.int64)
+        data = np.frombuffer(joined.encode() + bytes(8), np.uint8)
+        begin = starts
+        if len(data) - 8 > len(codes):  # a character's bytes but for the first are 10xxxxxx
+            begin = np.flatnonzero((data[:-8] & 0xC0) != 0x80)[starts]
+        row = self._rows(data, begin, np.diff(begin, append=len(data) - 8))
+        lengths = self.about[1][row].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(lengths)])
         counts = np.diff(upto[np.searchsorted(starts, bounds)])
         if not want_ids:
             return None, counts
-        spot = np.repeat(self.begin[row] - upto[:-1], lengths)
+        spot = np.repeat(self.about[0][row] - upto[:-1], lengths)
         spot += np.arange(len(spot))
         return self.flat[spot], counts
 
@@ -288,7 +295,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, nulls: np.ndarray, ends: np.ndarr
 class Shard:
     """A packed shard: len(), shard[i], document(k) and ids(), without a copy of the bytes."""
 
-    def __init__(self, data: bytes | memoryview | mmap.mmap, verify: bool = True):
+    def __init__(self, data: bytes | memoryview | pa.Buffer, verify: bool = True):
         view = memoryview(data)
         magic, version, _, docs, self.n_ids = _HEAD.unpack_from(view, 0)
         if magic != _MAGIC or version != 1:
@@ -329,41 +336,63 @@ class Shard:
             i, shift = level.rank(i), shift + 8
         return value
 
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """Ids a to b: what of them goes on lies in one piece of the next level, from the rank of a to that of b."""
+        out, where, shift = np.zeros(b - a, np.uint32), slice(None), 0
+        for level in self.levels:
+            chunk = level.chunks[a:b].astype(np.uint32) << np.uint32(shift)
+            out[where] |= chunk
+            if level.bits is None or b <= a:
+                break
+            on = np.unpackbits(level.bits[a >> 3 : -(-b // 8)], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+            spots = np.arange(len(out)) if shift == 0 else where
+            where = spots[on]
+            a, shift = level.rank(a), shift + 8
+            b = a + len(where)
+        return out
+
     def ids(self) -> np.ndarray:
-        """All ids, from the last level upwards."""
-        high = np.zeros(0, np.uint64)
-        for level in reversed(self.levels):
-            out = level.chunks.astype(np.uint64)
-            if level.bits is not None:
-                out[np.unpackbits(level.bits, count=len(out), bitorder="little").astype(bool)] |= high << np.uint64(8)
-            high = out
-        return high.astype(np.uint32)
+        return self.slice(0, self.n_ids)
+
+    def bounds(self, k: int) -> tuple[int, int]:
+        return int(self.ends[k - 1]) if k else 0, int(self.ends[k])
 
     def document(self, k: int) -> np.ndarray:
-        first = int(self.ends[k - 1]) if k else 0
-        return np.array([self[i] for i in range(first, int(self.ends[k]))], np.uint32)
+        return self.slice(*self.bounds(k))
 
 
-def save_shard(path: str, data: bytes) -> None:
-    with open(path, "wb") as file:
+def save_shard(uri: str, data: bytes) -> None:
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rsplit("/", 1)[0])
+    with store.open_output_stream(path) as file:
         file.write(data)
 
 
-def open_shard(path: str) -> Shard:
-    """A shard in a plain file, mapped into memory: reading a token touches a few pages."""
-    with open(path, "rb") as file:
-        return Shard(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), verify=False)
+def open_shard(uri: str, verify: bool = False) -> Shard:
+    """A shard's file; one on a local disk is mapped into memory, so that reading a token touches a few pages."""
+    store, path = fs.FileSystem.from_uri(uri)
+    if isinstance(store, fs.LocalFileSystem):
+        return Shard(pa.memory_map(path).read_buffer(), verify)
+    with store.open_input_file(path) as file:
+        return Shard(file.read_buffer(), verify)
+
+
+def _uri(folder: str) -> str:
+    """A folder as pyarrow names it: file:/x and /x are file:///x."""
+    return "file:///" + folder.removeprefix("file:").lstrip("/") if "://" not in folder or folder.startswith("file:") else folder
 
 
 def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Encode documents in ascending doc_id order into a table of shards in the shared folder.
+    """Encode documents in ascending doc_id order into shard files in the shared folder; the table of these files.
 
-    Columns: part, seq (the order of shards), n_docs, n_ids, shard. Each task packs its range of
+    Columns: part, seq (the order of shards), n_docs, n_ids, file. Each task packs its range of
     doc_ids; a shard ends with the document that brings it to SHARD_IDS ids.
     """
-    c.prepare(docs.sparkSession)
+    spark = c.prepare(docs.sparkSession)
     path = path or vocabulary()
-    order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    folder = _uri(f"{c.shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.spark_partition_id().alias("part"))
+    order = rows.repartitionByRange("doc_id", "tie", "part").sortWithinPartitions("doc_id", "tie", "part").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = Encoder.of(path), TaskContext.get().partitionId(), 0
@@ -372,8 +401,10 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
 
         def shard() -> pa.RecordBatch:
             ids, counts, doc_ids, nulls = (np.concatenate(x) for x in zip(*held))
-            cells = [[part], [seq], [len(doc_ids)], [len(ids)], [pack(ids, doc_ids, nulls, np.cumsum(counts))]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seq", "n_docs", "n_ids", "shard"])
+            file = f"{folder}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.dac"
+            save_shard(file, pack(ids, doc_ids, nulls, np.cumsum(counts)))
+            cells = [[part], [seq], [len(doc_ids)], [len(ids)], [file]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["part", "seq", "n_docs", "n_ids", "file"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -390,11 +421,11 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID)
         if held:
             yield shard()
 
-    return c.materialize(order.mapInArrow(c.tidy(encode), "part long, seq long, n_docs long, n_ids long, shard binary"), "shards")
+    return c.materialize(order.mapInArrow(c.tidy(encode), "part long, seq long, n_docs long, n_ids long, file string"), "shard-files")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from a table of shards.
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back by rank from the files of a table of shards.
 
     Only a total per task of the writer reaches the driver.
     """
@@ -406,20 +437,20 @@ def read_documents(shards: DataFrame) -> DataFrame:
         before += r["n"]
     bases = spark.createDataFrame(rows, "part long, base long")
     prior = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.select("part", "seq", prior.alias("prior")).join(F.broadcast(bases), "part").select("part", "seq", (F.col("base") + F.col("prior")).alias("base"))
-    placed = shards.select("part", "seq", "shard").join(c.small(c.materialize(starts, "shard-starts")), ["part", "seq"]).select("base", "shard")
+    placed = shards.withColumn("prior", prior).join(F.broadcast(bases), "part").select((F.col("base") + F.col("prior")).alias("base"), "file")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, cell in zip(batch.column("base").to_pylist(), batch.column("shard")):
-                shard = Shard(cell.as_buffer())
-                ids = shard.ids().astype("<u4")
+            for base, file in zip(batch.column("base").to_pylist(), batch.column("file").to_pylist()):
+                shard = open_shard(file, verify=True)
                 ends = shard.ends.astype(np.int64)
                 first = np.concatenate([[0], ends[:-1]])
-                sums = [zlib.crc32(ids[a:b]) for a, b in zip(first.tolist(), ends.tolist())]
+                sums = [zlib.crc32(shard.document(k).astype("<u4")) for k in range(len(ends))]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids.astype(np.int64), mask=shard.nulls), pa.array(base + first), pa.array(ends - first), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(c.tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for every few files, so that reading is dealt over the cluster
+    spread = placed.repartition(max(1, min(shards.count(), 2 * spark.sparkContext.defaultParallelism)), "file") if rows else placed
+    return spread.mapInArrow(c.tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -447,6 +478,27 @@ def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("text").mapInArrow(c.tidy(count), "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
+def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
+    """limit_tokens with docs_over, tokens_over, docs_within and tokens_truncated for any context limits, from the rows of context_limits().
+
+    A limit's answer is that of the longest occurring length within it; one aggregation for all limits.
+    """
+    facts = ("docs_over", "tokens_over", "total_docs", "total_tokens")
+    best = [F.max_by(F.struct(*facts), F.when(F.col("limit_tokens") <= x, F.col("limit_tokens"))).alias(f"r{i}") for i, x in enumerate(limits)]
+    whole = sums.agg(F.max("total_docs").alias("docs"), F.max("total_tokens").alias("tokens"), *best).where("docs is not null")
+    rows = [F.struct(F.lit(x).cast("long").alias("limit_tokens"), *[F.coalesce(F.col(f"r{i}.{f}"), F.col("docs" if "docs" in f else "tokens")).alias(f) for f in facts]) for i, x in enumerate(limits)]
+    out = whole.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.select("limit_tokens", "docs_over", "tokens_over", (F.col("total_docs") - F.col("docs_over")).alias("docs_within"), (F.col("total_tokens") - F.col("tokens_over") + F.col("docs_over") * F.col("limit_tokens")).alias("tokens_truncated"))
+
+
+def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """share, limit_tokens: the least length that at least this share of the documents don't exceed, for any shares."""
+    # 0 is met by the shortest length, as is every share up to its own
+    best = [F.min(F.when(F.col("docs_within") >= F.lit(q) * F.col("total_docs"), F.col("limit_tokens"))).alias(f"q{i}") for i, q in enumerate(shares)]
+    rows = [F.struct(F.lit(float(q)).alias("share"), F.col(f"q{i}").alias("limit_tokens")) for i, q in enumerate(shares)]
+    return sums.agg(*best).select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("limit_tokens is not null")
+
+
 def context_limits(histogram: DataFrame) -> DataFrame:
     """A row for each length that occurs, read as a context limit.
 
