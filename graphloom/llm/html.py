@@ -4,7 +4,7 @@ A page becomes a tree of its block elements and of the runs of text between them
 content or not; its features (tag, names in class, id and role, length, share of link text)
 give a potential, each parent and child share one, and sum-product messages up and down
 the tree give exact content marginals. Runs with a marginal of a half at least are the main
-text, in page order. Potentials are fitted by gradient ascent on the exact log-likelihood of
+text, in page order; if there are none, the likeliest ones, unless they are unlikely. Potentials are fitted by gradient ascent on the exact log-likelihood of
 labelled pages; training_pages() writes such pages by rule in many layouts, and fit()
 takes any others.
 
@@ -12,8 +12,8 @@ Messages run level by level over all pages of a slice at once, so a page costs t
 its nodes. Comments, scripts, styles and other raw elements never become text.
 
 Defined cases: null or empty html gives empty text; a page without markup is one block; tags left
-open or closed twice are repaired the way browsers close paragraphs, items and cells; references
-that don't decode stay as they are; repeated rows are extracted each; an empty table gives an
+open or closed twice are repaired the way browsers close paragraphs, items and cells; an element of media or
+the like that is never closed hides nothing; references that don't decode, or that markup parts, stay as they are; repeated rows are extracted each; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -38,6 +38,11 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no text of the page.
 RAW = frozenset("script style noscript template iframe object svg math textarea title head canvas audio video noembed noframes".split()) - {"head"}
+#: Of these, an element that is never closed goes to the end of the page; and those that hold others of their name.
+UNENDING = frozenset("script style textarea title".split())
+NESTED = frozenset("svg object template math".split())
+#: Log-odds of the likeliest run from which a page without any likelier one is still taken to have a text, and how far others may lie below.
+FAINT, NEAR_BEST = -2.0, 1.0
 #: Open elements that a start tag closes first, and the elements that bound the search.
 _CLOSES = {
     **{t: ({"p"}, {"table", "td", "th", "button"}) for t in BLOCKS - {"button", "option", "html", "head", "body"}},
@@ -89,6 +94,27 @@ def _names(attributes: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=64)
+def _tags_of(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?![^\s/>])[^>]*>", re.I)
+
+
+def _after_raw(page: str, name: str, at: int) -> int:
+    """Where the raw element that starts before `at` ends. One of text (script, style, ...) that is never closed goes to the
+    end, as in browsers; of the others such a tag is passed over alone, so that the text behind it stays."""
+    depth = 1
+    for m in _tags_of(name).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif name in NESTED:
+            depth += not m[0].endswith("/>")
+        elif name not in UNENDING:
+            return at  # a second one starts: the first was never closed
+        if not depth:
+            return m.end()
+    return len(page) if name in UNENDING else at
+
+
 def parse(page: str) -> Tree:
     tree = Tree()
     stack: list[tuple[str, int]] = [("", 0)]
@@ -98,7 +124,7 @@ def parse(page: str) -> Tree:
     def end_run() -> None:
         nonlocal run_links
         if run:
-            text = " ".join(html_names.unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             run.clear()
             if text:
                 at = stack[-1][1]
@@ -112,7 +138,8 @@ def parse(page: str) -> Tree:
         m = _TAG.search(page, at)
         upto = m.start() if m else n
         if upto > at:
-            piece = page[at:upto]
+            # references are decoded piece by piece: what markup parts is no reference
+            piece = html_names.unescape(page[at:upto])
             run.append(piece)
             if links:
                 run_links += len(piece)
@@ -135,8 +162,7 @@ def parse(page: str) -> Tree:
         attributes = m[3]
         if name in RAW:
             if not attributes.endswith("/>"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else n
+                at = _after_raw(page, name, at)
             run.append(" ")
             continue
         if name == "a":
@@ -239,9 +265,13 @@ class Model:
     def extract(self, pages: list[str | None]) -> list[str]:
         trees = [parse(p or "") for p in pages]
         forest = Forest(trees, self.slots)
-        content = marginals(forest, self.weights, self.pair)[0] >= 0
+        belief = marginals(forest, self.weights, self.pair)[0]
+        belief[[x is None for x in forest.text]] = -np.inf
+        content = belief >= 0
         out = []
         for a, b in zip(forest.first.tolist(), forest.first[1:].tolist()):
+            if not content[a:b].any() and belief[a:b].max() > FAINT:
+                content[a:b] = belief[a:b] >= belief[a:b].max() - NEAR_BEST
             out.append("\n\n".join(forest.text[i] for i in range(a, b) if forest.text[i] is not None and content[i]))
         return out
 
@@ -325,7 +355,8 @@ def training_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[str]]]:
 
     def named(tag: str, names: list[str], inner: str) -> str:
         k = r.choice(["class", "class", "id"])
-        name = r.choice(["%s", "%s", "site-%s", "%s-box", "page-%s"]) % r.choice(names)
+        word = r.choice(names) if r.random() < 0.85 else prose(1, 1).strip(".!").lower()  # a name that tells nothing
+        name = r.choice(["%s", "%s", "site-%s", "%s-box", "page-%s"]) % word
         return f'<{tag} {k}="{name}">{inner}</{tag}>'
 
     def links(k: int) -> str:
