@@ -108,7 +108,8 @@ def brute_duplicates(rows, k, percent):
 
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_near_duplicates_against_all_pairs(spark, k, percent, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)  # several blocks for the large group
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1500)  # several blocks for the large group
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 7)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
     texts = []
@@ -129,7 +130,7 @@ def test_beyond_the_broadcast_bound(spark, monkeypatch):
     docs, bench = frame(spark, texts), spark.createDataFrame([(0, " ".join(base[:20]))], "item_id long, text string")
     near = sorted(map(tuple, neardup.near_duplicates(docs, 3, 85).collect()))
     found = sorted(map(tuple, decontam.digest(decontam.hits(docs, bench)).collect()))
-    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, neardup.near_duplicates(docs, 3, 85).collect())) == near
     assert sorted(map(tuple, decontam.digest(decontam.hits(docs, bench)).collect())) == found and sum(r[5] for r in found) == 12
 
@@ -206,8 +207,11 @@ def test_tokens_against_library(spark):
 def test_shard_random_access(tmp_path):
     ids = np.array([0, 1, 255, 256, 65535, 65536, 2**32 - 1, *range(3000)], np.uint32)
     data = tokens.pack(ids, np.array([5, 9]), np.array([False, True]), np.array([7, len(ids)]))
-    tokens.save_shard(str(tmp_path / "s"), data)
-    shard = tokens.open_shard(str(tmp_path / "s"))
+    tokens.save_shard(f"file://{tmp_path}/s", data)
+    shard = tokens.open_shard(f"file://{tmp_path}/s")
+    rng = np.random.default_rng(1)
+    for a, b in rng.integers(0, len(ids) + 1, (200, 2)):
+        assert shard.slice(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)].tolist()
     assert shard.ids().tolist() == ids.tolist() and [shard[i] for i in range(len(ids))] == ids.tolist()
     assert shard.document(0).tolist() == ids[:7].tolist() and shard.nulls.tolist() == [False, True]
     with pytest.raises(ValueError):
