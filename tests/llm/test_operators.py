@@ -260,8 +260,68 @@ def test_ann_recall_and_ties(spark):
 def test_balanced_parts():
     rng = np.random.default_rng(7)
     x = ann._unit(rng.normal(size=(1000, 8)))
-    label = ann.balanced_parts(ann.nearest(x, x, 5, True), 8)
-    assert np.bincount(label).tolist() == [125] * 8
+    graph = ann.nearest(x, x, 5, True)
+    assert np.bincount(ann.balanced_parts(graph, 8)).tolist() == [125] * 8
+    assert sorted(set(np.bincount(ann.balanced_parts(graph, 64, x.astype(np.float32))))) == [15, 16]
+
+
+def ann_truth(vectors, queries, k=5):
+    x = vectors.astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in queries:
+        s = unit @ unit[q]
+        s[q] = -9
+        out[q] = set(np.argsort(-s, kind="stable")[:k].tolist())
+    return out
+
+
+def test_ann_prunes_and_keeps_recall(spark):
+    rng = np.random.default_rng(16)
+    vectors = rng.normal(size=(12_000, 48)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    common.prepare(spark)
+    index = ann.Index.build(ann.usable_rows(df))
+    assert index.router.parts > 256 and index.router.probes < index.router.parts / 2 and index.counts.sum() == ann.COPIES * 12_000
+    queries = list(range(0, 12_000, 100))
+    asked = ann.usable_rows(df.where("vec_id % 100 = 0"))
+    got = {}
+    for r in index.search(asked).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    truth = ann_truth(vectors, queries)
+    assert sum(len(got[q] & truth[q]) for q in queries) >= 0.88 * 5 * len(queries)
+
+
+def test_ann_index_insert_remove_rebuild_save(spark, tmp_path):
+    rng = np.random.default_rng(17)
+    vectors = rng.normal(size=(400, 8)).astype(np.float32)
+    frame_of = lambda a, b: ann.usable_rows(spark.createDataFrame([(i, vectors[i].tolist()) for i in range(a, b)], "vec_id long, embedding array<float>"))
+    common.prepare(spark)
+    index = ann.Index.build(frame_of(0, 300))
+    more = index.insert(frame_of(300, 400))
+    asked = frame_of(0, 10)
+    found = lambda i: {r["query_id"]: r["vec_id"] for r in i.search(asked).where("rank = 1").collect()}
+    truth = {q: next(iter(t)) for q, t in ann_truth(vectors, range(10), 1).items()}
+    index_of_all = dict(found(more))
+    assert index_of_all == truth or more.router.parts > 1
+    gone = more.remove(spark.createDataFrame([(index_of_all[0],)], "id long"))
+    assert found(gone)[0] != index_of_all[0] and gone.stats()["rows"] < more.stats()["rows"]
+    gone.save(str(tmp_path / "index"))
+    again = ann.Index.load(spark, str(tmp_path / "index"))
+    assert found(again) == found(gone) and again.stats() == gone.stats()
+    assert gone.vectors().count() == 399
+
+
+def test_ann_groups_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    rng = np.random.default_rng(18)
+    vectors = rng.normal(size=(900, 6)).astype(np.float32)
+    vectors[200:600] = vectors[200]  # one vector in many blocks
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(3, vectors[7].tolist())], "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("part", F.lit(1))
+    got = {}
+    for r in ann.nearest_neighbours(df, F.col("vec_id").isin(0, 200, 300, 599)).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[200] == [201, 202, 203, 204, 205] and got[300] == got[599] == [200, 201, 202, 203, 204] and len(got[0]) == 5
 
 
 def test_html_held_out_layouts():
