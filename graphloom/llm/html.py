@@ -42,7 +42,7 @@ RAW = frozenset("script style noscript template iframe object svg math textarea
 UNENDING = frozenset("script style textarea title".split())
 NESTED = frozenset("svg object template math".split())
 #: Log-odds of the likeliest run from which a page without any likelier one is still taken to have a text, and how far others may lie below.
-FAINT, NEAR_BEST = -2.0, 1.0
+FAINT, NEAR_BEST = -3.5, 1.0
 #: Open elements that a start tag closes first, and the elements that bound the search.
 _CLOSES = {
     **{t: ({"p"}, {"table", "td", "th", "button"}) for t in BLOCKS - {"button", "option", "html", "head", "body"}},

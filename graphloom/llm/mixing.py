@@ -18,13 +18,14 @@ hash of their id); posteriors, totals and rates cover every whole text. Tokens a
 
 Defined cases: null and empty texts have 0 tokens and the prior as posteriors; repeated rows get
 equal rates (and equal numbers of copies); documents without a label, or of a domain without a target, aren't
-learned from; a target whose domain was never seen can't be met and the others are
-matched as well as they can; without labelled documents every rate is 1; an empty table gives an empty
+learned from; a target whose domain was never seen can't be met, the others are
+matched as well as they can, and targets_met and a warning say so; without labelled documents every rate is 1; an empty table gives an empty
 result; columns of other names stay as they are.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ TRAIN_ROWS = 8000
 SHARPNESS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
 STEPS = 60
 CLOSE = 1e-7
+#: Targets count as met up to this share of the corpus's tokens.
+MET = 1e-4
 #: Shares of the corpus's tokens, by language.
 TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 
@@ -135,15 +138,25 @@ def _rate(steps: list[list[float]]):
     return F.aggregate(history, rate, lambda r, h: F.greatest(F.lit(0.0), r - dot(h)))
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -> list[list[float]]:
-    """The steps B^-1 (M - T) of projected gradient on a table of (n_tokens, p)."""
+class Steps(list):
+    """The steps of projected gradient; shares: of the corpus's tokens that the rates bring to each domain; met: whether these are the targets."""
+
+    met = True
+    shares: dict[str, float] = {}
+
+
+def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -> Steps:
+    """The steps B^-1 (M - T) of projected gradient on a table of (n_tokens, p), until the targets are met (CLOSE) or nothing moves.
+
+    Targets that can't be met end the loop when its steps get as small as that, or after STEPS; met tells which it was.
+    """
     k = len(domains)
     p = [F.col("p")[i] for i in range(k)]
     t = F.col("n_tokens")
     cells = [F.sum(t * p[i] * p[j]).alias(f"b{i}_{j}") for i in range(k) for j in range(i, k)]
     row = table.agg(F.sum(t).alias("all"), *cells).first()
     if not row["all"]:
-        return []
+        return Steps()
     b = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
@@ -152,15 +165,19 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float]) -
     share = np.array([targets[d] for d in domains])
     wanted = whole * share / share.sum()
     inverse = np.linalg.pinv(b, rcond=1e-9, hermitian=True)
-    steps: list[list[float]] = []
-    for _ in range(STEPS):
+    steps = Steps()
+    while True:
         rated = table.select("n_tokens", "p", _rate(steps).alias("r"))
         got = rated.agg(*[F.sum(F.col("r") * t * p[i]).alias(f"m{i}") for i in range(k)]).first()
         off = np.array([got[f"m{i}"] for i in range(k)]) - wanted
         step = inverse @ off
-        if np.abs(off).max() <= CLOSE * whole or steps and np.abs(step).max() < CLOSE:
+        steps.met = bool(np.abs(off).max() <= MET * whole)
+        steps.shares = {d: (o + w) / whole for d, o, w in zip(domains, off, wanted)}
+        if np.abs(off).max() <= CLOSE * whole or len(steps) == STEPS or steps and np.abs(step).max() < CLOSE:
             break
         steps.append(step.tolist())
+    if not steps.met:
+        warnings.warn(f"the targets aren't met: shares are {steps.shares}", stacklevel=2)
     return steps
 
 
@@ -170,22 +187,22 @@ def copies(rate, doc_id):
     return (F.floor(rate) + F.when(unit < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def _prepared(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float]) -> tuple[Posteriors | None, list[list[float]], DataFrame | None]:
+def _prepared(docs: DataFrame, labelled: DataFrame, domain: str, targets: dict[str, float]) -> tuple[Posteriors | None, Steps, DataFrame | None]:
     model = learn(docs, labelled, domain, targets)
     if model is None:
-        return None, [], None
+        return None, Steps(), None
     table = c.materialize(posteriors(docs, model), "posteriors")
     return model, fit_rates(table, model.domains, targets), table
 
 
 def rates(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> for each target, rate and copies of every document."""
+    """doc_id, n_tokens, p_<domain> for each target, rate, copies and targets_met (of the whole fit) of every document."""
     model, steps, table = _prepared(docs, labelled, domain, targets)
     if model is None:
         sized = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-        return docs.select("doc_id", sized.alias("n_tokens"), *[F.lit(None).cast("double").alias(f"p_{d}") for d in sorted(targets)], F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return docs.select("doc_id", sized.alias("n_tokens"), *[F.lit(None).cast("double").alias(f"p_{d}") for d in sorted(targets)], F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(False).alias("targets_met"))
     rated = table.withColumn("rate", _rate(steps))
-    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return rated.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(steps.met).alias("targets_met"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, domain: str = "lang", targets: dict[str, float] = TARGETS) -> DataFrame:

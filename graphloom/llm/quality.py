@@ -5,13 +5,14 @@ the sum-of-squares identity, so a document costs time linear in its words.
 
 Inputs of a score are the text and its metadata field n_chars, never labels, lang,
 source or doc_id. Training reads at most TRAIN_ROWS labelled documents, the first by a hash
-of their id; every document is scored on its whole text.
+of their id, none longer than TRAIN_BYTES; every document is scored on its whole text.
 
 Defined cases: null and empty texts have no words and are scored on their statistics; a
 null or absent n_chars has its own feature; repeated rows get equal scores; labels that
 are null or whose document is missing are ignored, of several labels of a document the
-largest counts; with no labelled row at all, every score is 1. An empty table gives an
-empty result. Columns of any other name are left alone.
+largest counts; a labelled doc_id that is repeated is learned from once; with no labelled row at all, every
+score is 1. An empty table gives an empty result. Columns of any other name are left alone; score() puts its
+columns in the place of those named score and predicted.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from . import common as c
 SLOTS = 1 << 14
 RANK = 8
 TRAIN_ROWS = 12_000
+TRAIN_BYTES = 64_000
 EPOCHS = 6
 BATCH = 64
 THRESHOLD = 0.7
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    pairs = docs.select("doc_id", "text", _meta(docs).alias("n_chars")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text", "n_chars")
+    rows_of = docs.select("doc_id", "text", _meta(docs).alias("n_chars")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    pairs = rows_of.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text", "n_chars")
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
             cut = [index[a:b].astype(np.uint16).tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(cut, pa.binary())], ["doc_id", "y", "features"])
 
-    got = pairs.mapInArrow(c.tidy(shrink), "doc_id long, y int, features binary").toArrow().sort_by("doc_id")
+    got = pairs.mapInArrow(c.tidy(shrink), "doc_id long, y int, features binary")
+    got = got.groupBy("doc_id", "y").agg(F.min("features").alias("features")).toArrow().sort_by("doc_id")
     data, y = [], got.column("y").to_numpy().astype(np.float32) if got.num_rows else np.zeros(0, np.float32)
     for cell in got.column("features"):
         index = np.frombuffer(cell.as_py(), np.uint16).astype(np.int32)
@@ -169,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 def score(docs: DataFrame, model: FactorisationMachine, keep: list[str] | None = None) -> DataFrame:
     """The columns in `keep` (all of docs if None), then score double and predicted int."""
     c.prepare(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = [x for x in (docs.columns if keep is None else keep) if x not in ("score", "predicted")]
     source = docs.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keep)], F.col("text").alias("fm_text"), _meta(docs).alias("fm_meta"))
     out = source.drop("fm_text", "fm_meta").schema.add("score", "double").add("predicted", "integer")
 

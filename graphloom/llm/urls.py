@@ -6,8 +6,9 @@ if it makes at least SHARE of all characters, and P(c | context) backs off to th
 shorter context with weight BACKOFF. Both models share their contexts, so together they are one
 automaton: a table from (context, character) to the next context and the log-likelihood
 difference. A URL's score is the mean of these along its characters; it is allowed if
-the score reaches a threshold calibrated on the URLs that rules decide: the point between the two means
-that lies as many standard deviations from either.
+the score reaches a threshold calibrated on URLs that rules decide and that the models haven't seen (a quarter of
+them, by a hash of the URL, so that repeated URLs are on one side): the point between the two means
+that lies as many standard deviations from either. If that quarter lacks a class, all that rules decide calibrate.
 
 Everything here is DataFrame expressions. Characters are counted by partial aggregation; the
 automaton has at most ORDER / SHARE contexts of ALPHABET entries each, whatever the
@@ -35,6 +36,8 @@ ALPHABET = START + 1
 ORDER = 3
 SHARE = 5e-4
 BACKOFF = 8.0
+#: One in so many of the URLs that rules decide calibrates the threshold.
+HELD = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -62,12 +65,12 @@ def codes(url: Column) -> Column:
 
 
 def _grams(judged: DataFrame) -> DataFrame:
-    """context (ORDER symbols as a number), symbol, accepted, rejected: counts over all URLs with a rule."""
+    """context (ORDER symbols as a number), symbol, accepted, rejected: counts over all URLs with a rule but for the held ones."""
     padded = F.concat(F.array_repeat(F.lit(START), ORDER), F.col("codes"))
     context = F.lit(0)
     for back in range(ORDER):
         context = context * ALPHABET + F.element_at(F.col("padded"), F.col("i") + 1 + back)
-    rows = judged.where("action is not null and size(codes) > 0").select("action", padded.alias("padded"), F.posexplode("codes").alias("i", "symbol"))
+    rows = judged.where("action is not null and not held and size(codes) > 0").select("action", padded.alias("padded"), F.posexplode("codes").alias("i", "symbol"))
     return rows.groupBy(context.alias("context"), "symbol").agg(F.sum(F.when(F.col("action") == "allow", 1).otherwise(0)).alias("accepted"), F.sum(F.when(F.col("action") == "block", 1).otherwise(0)).alias("rejected"))
 
 
@@ -130,17 +133,21 @@ def score(judged: DataFrame, model: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every page; keeps the other columns out."""
     host, path = split_url(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"), codes(F.col("url")).alias("codes"))
+    held = F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0
+    parts = pages.select("page_id", host.alias("host"), path.alias("path"), codes(F.col("url")).alias("codes"), held.alias("held"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     judged = c.materialize(parts.withColumns({"rule": rule, "action": action}), "urls")
-    both = judged.where("action is not null and size(codes) > 0").agg(F.count_distinct("action")).first()[0]
+    both = judged.where("action is not null and not held and size(codes) > 0").agg(F.count_distinct("action")).first()[0]
     if both < 2:
         scored = judged.withColumn("score", F.lit(None).cast("double"))
     else:
         scored = c.materialize(score(judged, automaton(judged)).drop("codes"), "url-scores")
-    of = lambda f, kind: F.coalesce(f(F.when(F.col("action") == kind, F.col("score"))), F.lit(0.0))
-    a, r = (of(F.avg, x) for x in ("allow", "block"))
-    sa, sr = (of(F.stddev_pop, x) + 1e-9 for x in ("allow", "block"))
-    cut = scored.agg(((a * sr + r * sa) / (sa + sr)).alias("cut")).scalar()
+    of = lambda f, kind, some: f(F.when((F.col("action") == kind) & some, F.col("score")))
+    cuts = []
+    for some in (F.col("held"), F.lit(True)):  # null without a score of either class
+        a, r = (of(F.avg, x, some) for x in ("allow", "block"))
+        sa, sr = (of(F.stddev_pop, x, some) + 1e-9 for x in ("allow", "block"))
+        cuts.append((a * sr + r * sa) / (sa + sr))
+    cut = scored.agg(F.coalesce(*cuts, F.lit(0.0)).alias("cut")).scalar()
     by_model = F.when(F.col("score") < cut, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("action", by_model).alias("verdict"), "score")

@@ -375,7 +375,9 @@ def test_url_model_against_python(spark):
         return [urls.SYMBOLS.find(re.sub("[1-9]", "0", ch)) + 1 for ch in t]
 
     counts = [{}, {}]
-    for i, u in rows[:90]:
+    held = {r["page_id"] for r in spark.createDataFrame(rows, "page_id long, url string").where(f"pmod(xxhash64(url), {urls.HELD}) = 0").collect()}
+    assert 5 < len(held) < 45
+    for i, u in [r for r in rows[:90] if r[0] not in held]:
         c = [urls.START] * urls.ORDER + coded(u)
         for j in range(urls.ORDER, len(c)):
             for o in range(urls.ORDER + 1):
@@ -479,3 +481,243 @@ def test_pipeline(spark, tmp_path):
         kept.append(docs.count())
     assert kept[:3] == [161, 151, 150] and docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert isinstance(docs.schema["start"].dataType, T.LongType)
+
+
+def test_mixing_against_plain_python(spark):
+    """Posteriors by a dictionary of words, rates by projected gradient on plain arrays."""
+    rng = np.random.default_rng(19)
+    texts = [" ".join(f"{'edfs'[i % 4] if rng.random() < 0.8 else 'x'}{x}" for x in rng.integers(0, 30, rng.integers(1, 40))) for i in range(300)]
+    docs = frame(spark, texts)
+    common.prepare(spark)
+    model = mixing.learn(docs, docs.select("doc_id"))
+    table = mixing.posteriors(docs, model)
+    got = {r["doc_id"]: r for r in table.collect()}
+    held = {r["doc_id"] for r in docs.where("pmod(xxhash64(doc_id), 4) = 0").collect()}
+    slot = lambda w: common.hash_word(w) & (mixing.SLOTS - 1)
+    langs, counts, seen = sorted(mixing.TARGETS), {}, {}
+    for i, t in enumerate(texts):
+        if i not in held:
+            lang = ("en", "de", "fr", "es")[i % 4]
+            seen[lang] = seen.get(lang, 0) + 1
+            for w in words(t):
+                counts[lang, slot(w)] = counts.get((lang, slot(w)), 0) + 1
+    total = {d: sum(n for (x, _), n in counts.items() if x == d) + 0.1 * mixing.SLOTS for d in langs}
+    n, p = [], []
+    for i, t in enumerate(texts):
+        w = words(t)
+        z = [model.sharpness * np.mean([np.log((counts.get((d, slot(x)), 0) + 0.1) / total[d]) for x in w]) + np.log((seen[d] + 0.1) / (sum(seen.values()) + 0.4)) for d in langs]
+        e = np.exp(np.array(z) - max(z))
+        assert np.allclose(got[i]["p"], e / e.sum(), atol=1e-4) and got[i]["n_tokens"] == len(w)
+        n.append(len(w))
+        p.append(got[i]["p"])
+    n, p = np.array(n, float), np.array(p)
+    wanted = n.sum() * np.array([mixing.TARGETS[d] for d in langs])
+    inverse = np.linalg.inv((p * n[:, None]).T @ p)
+    r = np.ones(len(n))
+    for _ in range(2000):
+        r = np.maximum(0, r - p @ inverse @ ((r * n) @ p - wanted))
+    steps = mixing.fit_rates(table, langs, mixing.TARGETS)
+    mine = {x["doc_id"]: x["r"] for x in table.select("doc_id", mixing._rate(steps).alias("r")).collect()}
+    assert steps.met and np.allclose([mine[i] for i in range(len(n))], r, atol=1e-3)
+
+
+def test_mixing_says_that_targets_are_not_met(spark):
+    table = spark.createDataFrame([(10, [1.0, 0.0]), (10, [1.0, 0.0])], "n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="aren't met"):
+        assert not mixing.fit_rates(table, ["a", "b"], {"a": 0.5, "b": 0.5}).met
+
+
+# --- hashes, bytes, groups -----------------------------------------------------------------------
+
+
+def thue_morse(n=1024):
+    t = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in t), "".join("ba"[x] for x in t)
+
+
+def test_words_of_one_polynomial_hash_stay_apart(spark):
+    one, two = thue_morse()
+    encoder = tokens.Encoder(tokens.vocabulary())
+    ids, counts = encoder.encode([one, two])
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    assert ids.tolist() == wanted[0] + wanted[1] and counts.tolist() == [len(x) for x in wanted]
+    docs = frame(spark, [one, two, f"{one} {two}"])
+    assert {r["component_id"] for r in neardup.near_duplicates(docs, 3, 85).collect()} == {0, 1, 2}
+    bench = spark.createDataFrame([(7, one)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["n_hit"]) for r in decontam.digest(decontam.hits(docs, bench)).collect()) == [(0, 1), (1, 0), (2, 1)]
+    lengths = {r["length"]: r["n_docs"] for r in tokens.length_histogram(docs.where("doc_id < 2")).collect()}
+    assert sum(lengths.values()) == 2 and set(lengths) == {len(x) for x in wanted}
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    """With a hash that gives every word the same number, tokens and phrases are still right."""
+    monkeypatch.setattr(common, "hash_ranges", lambda data, starts, sizes: np.full(len(starts), 5, np.uint64))
+    encoder = tokens.Encoder(tokens.vocabulary())
+    texts = ["Some words, and more words!", "other things"]
+    assert encoder.encode(texts)[0].tolist() == [y for t in texts for y in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+    low, starts, sizes, hashes, _ = decontam.lower_words(pa.array(["alpha beta alpha gamma"]))
+    found, order, ends = decontam.dictionary(low, starts, sizes, hashes)
+    assert len(found.hashes) == 3 and sorted(np.diff(np.concatenate([[0], ends])).tolist()) == [1, 1, 2]
+    assert sorted(found.find(hashes, low, starts, sizes).tolist()) == sorted(x for x in range(3) for _ in range(int(np.diff(np.concatenate([[0], ends]))[x])))
+
+
+def test_merged_registers_are_those_of_the_union():
+    rng = np.random.default_rng(20)
+    a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (700, 1500))
+    both = neardup.registers(np.union1d(a, b), 222)
+    assert np.array_equal(neardup.merge(neardup.registers(a, 222), neardup.registers(b, 222)), both)
+    old, neardup.PIECE = neardup.PIECE, 512
+    try:
+        assert np.array_equal(neardup.registers(np.union1d(a, b), 222), both)
+    finally:
+        neardup.PIECE = old
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (5, b + " end"), (9, "alone in here")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs, 3, 85).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (5, 1), (9, 9)]
+    assert sorted(r["doc_id"] for r in neardup.deduplicate(docs, 3, 85).collect()) == [1, 9]
+
+
+def test_large_group_of_short_near_copies_is_bounded():
+    """What a task does for a block: near copies below the threshold, none of which links, and a group that links at once."""
+    rng = np.random.default_rng(21)
+    m = 222
+    base = rng.integers(0, 2**63, 20).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:17], rng.integers(0, 2**63, 4).astype(np.uint64)])) for _ in range(neardup.BLOCK_DOCS)]
+    regs = np.stack([neardup.registers(s, m) for s in sets])
+    ids, comp, side = np.arange(len(sets)), np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    assert neardup.forest_of_links(ids, sets, regs, comp, side, 85) == []
+    near = [np.unique(np.append(base, np.uint64(i))) for i in range(300)]
+    regs = np.stack([neardup.registers(s, m) for s in near])
+    links = neardup.forest_of_links(np.arange(300), near, regs, np.arange(300), np.zeros(300, np.int64), 85)
+    assert len(links) == 299  # a forest, not pairs
+    assert neardup.promising(np.full(300, 21), regs, np.zeros(300, np.int64), np.zeros(300, np.int64), 85).sum() == 0  # one component
+
+
+def test_group_of_twenty_thousand_near_copies(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(" ".join(f"w{i}" for i in range(30)) + " v"), F.col("id").cast("string")).alias("text"))
+    got = neardup.near_duplicates(rows, 3, 85)
+    assert got.agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("c"), F.sum(F.col("kept").cast("int")).alias("k")).first()[:] == (20_000, 0, 1)
+
+
+def test_decontamination_judges_each_row(spark):
+    w = " ".join(f"t{i}" for i in range(13))
+    docs = spark.createDataFrame([(None, w), (None, "clean text"), (3, w), (3, " ".join(f"c{i}" for i in range(13))), (4, None), (5, "x " * 30_000 + w)], "doc_id long, text string").withColumn("text_key", F.lit(1)).withColumn("spans", F.lit("q"))
+    bench = spark.createDataFrame([(1, w), (1, w), (None, "zz"), (2, None)], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.digest(decontam.hits(docs, bench)).collect())
+    assert got == [("3", 13, 0, 0, False), ("3", 13, 13, 1, True), ("4", 0, 0, 0, False), ("5", 30_013, 13, 1, False), ("None", 2, 0, 0, False), ("None", 13, 13, 1, True)]
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns and left.count() == 4
+    assert decontam.hits(docs.limit(0), bench).count() == 0 and decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_slices_of_a_benchmark(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    items = [" ".join(f"i{x}" for x in rng.integers(0, 40, 20)) for _ in range(12)]
+    docs = frame(spark, [f"{items[i]} filler {items[i + 1]} {items[0]}" for i in range(8)] + ["nothing here"])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    index = decontam.positional_index(docs)
+    whole = sorted(map(tuple, decontam.digest(decontam.hits(docs, bench, index=index)).collect()))
+    monkeypatch.setattr(decontam, "SLICE_WORDS", 30)
+    monkeypatch.setattr(decontam, "PLACES", 2)
+    assert sorted(map(tuple, decontam.digest(decontam.hits(docs, bench, index=index)).collect())) == whole and sum(r[5] for r in whole) == 8
+
+
+def test_any_limit_and_quantile(spark):
+    texts = ["word " * n for n in (0, 1, 1, 3, 2000, 5)] + [None]
+    lengths = sorted(len(tokens.Encoder(tokens.vocabulary()).tokenizer.encode(t or "").ids) for t in texts)
+    sums = tokens.context_limits(tokens.length_histogram(frame(spark, texts)))
+    for r in tokens.at_limits(sums, [0, 2, 4, 100, 5000]).collect():
+        n = r["limit_tokens"]
+        assert (r["docs_over"], r["docs_within"], r["tokens_truncated"]) == (sum(x > n for x in lengths), sum(x <= n for x in lengths), sum(min(x, n) for x in lengths))
+    for r in tokens.quantiles(sums, [0.0, 0.25, 0.5, 0.99, 1.0]).collect():
+        assert r["limit_tokens"] == min(x for x in lengths if sum(y <= x for y in lengths) >= r["share"] * len(lengths))
+    none = tokens.context_limits(tokens.length_histogram(frame(spark, []).withColumn("length", F.lit(1))))
+    assert none.count() == 0 and tokens.at_limits(none, [5]).count() == 0 and tokens.quantiles(none, [0.5]).count() == 0
+
+
+def test_equal_and_missing_ids_are_dealt_over_tasks(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i} here") for i in range(400)], "doc_id long, text string").withColumn("tie", F.lit(1)).withColumn("part", F.lit("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = tokens.write_shards(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.select("part").distinct().count() > 2
+    got = tokens.read_documents(shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 200 + [7] * 200
+    encoder = tokens.Encoder(tokens.vocabulary())
+    sums = sorted(zlib.crc32(np.array([*encoder.tokenizer.encode(f"text {i} here").ids, 0], "<u4")) for i in range(400))
+    assert sorted(r["ids_crc32"] for r in got) == sums
+
+
+# --- toxicity ------------------------------------------------------------------------------------
+
+SENTENCES = {
+    "You are an idiot": "aimed", "idiot, you": "late", "You aren't an idiot": "negated", "You aren’t an idiot": "negated", "I don't want to hurt you": "negated",
+    "I will kill you": "late", "you will burn": "aimed", "“idiot” you are": "late", "you—idiot": "aimed", "he said idiot": "reported", "she told of threats to kill": "reported", "strangler": "", "ÉL ES UN IDIOTA": "aimed",
+}
+
+
+def test_sentences_are_read_by_the_grammar():
+    grammar = toxicity.Grammar(toxicity.Lexicon({}, {}))
+    names = {i: (x if isinstance(x, tuple) else ("plain", x))[0] for x, i in toxicity.OUTPUTS.items()}
+    for text, wanted in SENTENCES.items():
+        own = grammar.features(pa.array([text]))[0][: len(names)]
+        seen = {names[i] for i in np.flatnonzero(own)}
+        assert (wanted in seen) if wanted else not seen, (text, seen)
+    score = lambda t: grammar.score(pa.array([t]))[0]
+    assert score("You are an idiot") > 0.5 and score("I will kill you") > 0.5
+    assert max(score(t) for t in ("You aren't an idiot", "I don't want to hurt you", "", "a strangler fig", "they said: to kill time")) < 0.5
+
+
+def test_composed_machine_is_the_three_run_one_by_one():
+    rng = np.random.default_rng(23)
+    step, out = toxicity.composed()
+    for _ in range(300):
+        symbols = rng.integers(0, 6, rng.integers(1, 15)).tolist()
+        stream: list = symbols
+        for t in toxicity.CHAIN:
+            state, passed = 0, []
+            for s in stream:
+                state, o = t.step(state, s)
+                passed.append(o)
+            stream = passed
+        state, mine = 0, []
+        for s in symbols:
+            mine.append(int(out[state, s]))
+            state = int(step[state, s])
+        assert mine == [toxicity.OUTPUTS.get(s, -1) for s in stream]
+
+
+def test_html_unclosed_media_and_split_references():
+    model = html.default_model()
+    for tag in ("video", "audio", "object", "svg", "noscript", "iframe"):
+        page = f"<article><h1>A title here</h1><p>First paragraph of the text.</p><{tag} src=x><p>Second paragraph of the text.</p></article>"
+        assert "Second paragraph of the text." in model.extract([page])[0], tag
+    assert html._after_raw("<svg><svg></svg></svg>rest", "svg", 5) == 22
+    assert model.extract(["<article><p>One &am<b>p;</b> two words and more of them.</p></article>"])[0] == "One &amp; two words and more of them."
+    assert model.extract(["<div class=zuzu><a href=/>x</a></div><div class=newsroom><p>One paragraph that is the whole of the article, long enough to be read.</p></div><div class=wawa><a href=/>y</a></div>"])[0].startswith("One paragraph")
+    assert model.extract(["<p>kept</p><script>never closed <p>no</p>"])[0] == "kept"
+
+
+def test_registered_queries_have_the_columns_of_their_contracts(spark):
+    from graphloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    wanted = {
+        "op1_quality": "doc_id bigint held_out boolean score double predicted int", "op3_url_filter": "page_id bigint host string path string rule string verdict string",
+        "op4_near_duplicates": "doc_id bigint n_shingles bigint component_id bigint kept boolean", "op5_decontamination": "doc_id bigint n_words bigint n_hit bigint n_items bigint items_sha256 string contaminated boolean",
+        "op6_nearest_neighbours": "query_id bigint rank int vec_id bigint score double", "op8_html_extraction": "page_id bigint url string text string n_chars bigint",
+        "op9_toxicity": "doc_id bigint held_out boolean score double predicted int", "op10_token_output": "doc_id bigint start bigint n_tokens bigint ids_crc32 bigint",
+    }
+    for name, columns in wanted.items():
+        parts = columns.split()
+        got = queries.QUERIES[name](spark, d)
+        assert dict(got.dtypes).items() >= dict(zip(parts[::2], parts[1::2])).items(), name
+        rows_of = {"op3_url_filter": "pages", "op8_html_extraction": "pages"}.get(name, "documents")
+        if name != "op6_nearest_neighbours":
+            assert got.count() == spark.read.parquet(f"{d}/{rows_of}.parquet").count()
