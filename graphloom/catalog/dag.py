@@ -8,7 +8,7 @@ from ..operators import dag
 from ..registry import query
 from ..sources import tables as t
 
-A = f"a AS ({t.ACTIONS_SQL}), e AS (SELECT hash AS child, unnest(parents) AS parent FROM a)"
+A = f"a AS MATERIALIZED ({t.ACTIONS_SQL}), e AS MATERIALIZED (SELECT hash AS child, unnest(parents) AS parent FROM a)"
 UP = "anc(hash) AS (SELECT {0}::BIGINT UNION SELECT e.parent FROM anc JOIN e ON e.child = anc.hash)"
 REPLAY = "SELECT triple_key FROM {0} GROUP BY 1 HAVING arg_max(op, (ts, hash)) = 'insert'"
 
@@ -41,22 +41,14 @@ def dag_chain(spark, d):
     return dag.last_of_authors(t.actions(spark, d).where("author = 5"), 10).select("hash", "seq")
 
 
-def young(spark, d):
-    """The actions of the first 400 events: chains of parents stay short enough for a recursive oracle."""
-    return t.actions(spark, d).where("hash < 400")
-
-
-Y = f"a AS (SELECT * FROM ({t.ACTIONS_SQL}) WHERE hash < 400), e AS (SELECT hash AS child, unnest(parents) AS parent FROM a)"
-
-
-@query("dag_ancestors", f"WITH RECURSIVE {Y}, {UP.format(390)} SELECT hash FROM anc")
+@query("dag_ancestors", f"WITH RECURSIVE {A}, {UP.format(990)} SELECT hash FROM anc")
 def dag_ancestors(spark, d):
-    return dag.ancestors(young(spark, d), [390])
+    return dag.ancestors(t.actions(spark, d), [990])
 
 
-@query("dag_at", f"WITH RECURSIVE {Y}, {UP.format(390)}, x AS (SELECT * FROM a WHERE hash IN (SELECT hash FROM anc)) " + REPLAY.format("x"))
+@query("dag_at", f"WITH RECURSIVE {A}, {UP.format(990)}, x AS (SELECT * FROM a WHERE hash IN (SELECT hash FROM anc)) " + REPLAY.format("x"))
 def dag_at(spark, d):
-    return dag.at(young(spark, d), 390)
+    return dag.at(t.actions(spark, d), 990)
 
 
 @query("dag_at_timestamp", f"WITH {A}, x AS (SELECT * FROM a WHERE ts <= (SELECT min(ts) + INTERVAL 5 DAY FROM a)) " + REPLAY.format("x"))
@@ -66,14 +58,14 @@ def dag_at_timestamp(spark, d):
     return dag.at_timestamp(a, until.isoformat(" "))
 
 
-@query("dag_diff", f"WITH RECURSIVE {Y}, {UP.format(390)}, old(hash) AS (SELECT 200::BIGINT UNION SELECT e.parent FROM old JOIN e ON e.child = old.hash) SELECT hash FROM anc WHERE hash NOT IN (SELECT hash FROM old)")
+@query("dag_diff", f"WITH RECURSIVE {A}, {UP.format(990)}, old(hash) AS (SELECT 500::BIGINT UNION SELECT e.parent FROM old JOIN e ON e.child = old.hash) SELECT hash FROM anc WHERE hash NOT IN (SELECT hash FROM old)")
 def dag_diff(spark, d):
-    return dag.difference(young(spark, d), 200, 390)
+    return dag.difference(t.actions(spark, d), 500, 990)
 
 
-@query("dag_missing", f"WITH RECURSIVE {Y}, {UP.format(300)} SELECT hash FROM a WHERE hash NOT IN (SELECT hash FROM anc)")
+@query("dag_missing", f"WITH RECURSIVE {A}, {UP.format(700)} SELECT hash FROM a WHERE hash NOT IN (SELECT hash FROM anc)")
 def dag_missing(spark, d):
-    return dag.missing(young(spark, d), [300])
+    return dag.missing(t.actions(spark, d), [700])
 
 
 @query("dag_prune_last", f"WITH {A}, k AS (SELECT hash FROM a ORDER BY ts DESC, hash DESC LIMIT 100) SELECT hash FROM k UNION SELECT hash FROM a WHERE hash NOT IN (SELECT parent FROM e)")
@@ -81,14 +73,14 @@ def dag_prune_last(spark, d):
     return dag.prune(t.actions(spark, d), keep_last=100)
 
 
-@query("dag_prune_depth", f"WITH RECURSIVE {Y}, r(hash, depth) AS (SELECT hash, 0 FROM a WHERE hash NOT IN (SELECT parent FROM e) UNION SELECT e.parent, depth + 1 FROM r JOIN e ON e.child = r.hash WHERE depth < 3) SELECT DISTINCT hash FROM r")
+@query("dag_prune_depth", f"WITH RECURSIVE {A}, r(hash, depth) AS (SELECT hash, 0 FROM a WHERE hash NOT IN (SELECT parent FROM e) UNION SELECT e.parent, depth + 1 FROM r JOIN e ON e.child = r.hash WHERE depth < 3) SELECT DISTINCT hash FROM r")
 def dag_prune_depth(spark, d):
-    return dag.prune(young(spark, d), keep_depth=3)
+    return dag.prune(t.actions(spark, d), keep_depth=3)
 
 
-@query("dag_depth_map", f"WITH RECURSIVE {Y}, r(hash, depth) AS (SELECT hash, 0 FROM a WHERE hash NOT IN (SELECT parent FROM e) UNION SELECT e.parent, depth + 1 FROM r JOIN e ON e.child = r.hash WHERE depth < 60) SELECT hash, min(depth) AS depth FROM r GROUP BY 1")
+@query("dag_depth_map", f"WITH RECURSIVE {A}, r(hash, depth) AS (SELECT hash, 0 FROM a WHERE hash NOT IN (SELECT parent FROM e) UNION SELECT e.parent, depth + 1 FROM r JOIN e ON e.child = r.hash WHERE depth < 400) SELECT hash, min(depth) AS depth FROM r GROUP BY 1")
 def dag_depth_map(spark, d):
-    return dag.depths(young(spark, d))
+    return dag.depths(t.actions(spark, d))
 
 
 @query("dag_export_dot", f"WITH {A} SELECT '  \"' || hash || '\" [label=\"' || author || ':' || seq || '\"];' AS line FROM a UNION ALL SELECT '  \"' || child || '\" -> \"' || parent || '\";' FROM e")

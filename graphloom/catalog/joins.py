@@ -11,8 +11,10 @@ from ..operators import traces
 from ..registry import query
 from ..sources import tables as t
 
-H = f"WITH h AS ({t.HEADERS_SQL}) "
+H = f"WITH h AS MATERIALIZED ({t.HEADERS_SQL}) "
 DELETED = "(SELECT target FROM h WHERE type = 'Delete' AND target IS NOT NULL)"
+#: The same headers and the distinct targets of deletes, for anti joins.
+HD = H.rstrip() + ", del AS MATERIALIZED (SELECT DISTINCT target FROM h WHERE type = 'Delete' AND target IS NOT NULL) "
 
 
 @query("star_pivot", "SELECT 'customer:' || c_custkey AS subject, c_name AS name, c_mktsegment AS segment, 'nation:' || c_nationkey AS nation FROM customer")
@@ -21,7 +23,7 @@ def star_pivot(spark, d):
     return g.star(rows, {"name": "has_name", "segment": "segment", "nation": "in_nation"}, ("name",))
 
 
-@query("live_element", H + f"SELECT hash, type FROM h WHERE type <> 'Delete' AND hash NOT IN {DELETED}")
+@query("live_element", HD + "SELECT hash, type FROM h ANTI JOIN del ON h.hash = del.target WHERE type <> 'Delete'")
 def live_element(spark, d):
     return ch.live_elements(t.headers(spark, d)).select("hash", "type")
 
@@ -41,7 +43,7 @@ def entry_details(spark, d):
     return ch.entry_details(t.headers(spark, d))
 
 
-@query("get_links", H + f"""SELECT hash, base, author AS "to", hex(hash) AS tag FROM h WHERE type = 'Create' AND starts_with(hex(hash), '31') AND hash NOT IN {DELETED}""")
+@query("get_links", HD + """SELECT hash, base, author AS "to", hex(hash) AS tag FROM h ANTI JOIN del ON h.hash = del.target WHERE type = 'Create' AND starts_with(hex(hash), '31')""")
 def get_links(spark, d):
     return ch.links(t.headers(spark, d), "31")
 
@@ -77,7 +79,7 @@ def cap_grants(spark, d):
     return ch.cap_grants(t.headers(spark, d), t.table(spark, d, "orders"))
 
 
-@query("integrate_ready", H + "SELECT hash, type FROM h WHERE state = 'O' AND CASE WHEN type = 'Create' THEN prev_hash IS NULL OR prev_hash IN (SELECT hash FROM h WHERE state = 'F') ELSE target IN (SELECT hash FROM h WHERE state = 'F') END")
+@query("integrate_ready", H.rstrip() + ", fin AS MATERIALIZED (SELECT hash AS done FROM h WHERE state = 'F'), n AS (SELECT hash, type, CASE WHEN type = 'Create' THEN prev_hash ELSE target END AS need FROM h WHERE state = 'O') SELECT hash, type FROM n SEMI JOIN fin ON need = done UNION ALL SELECT hash, type FROM n WHERE type = 'Create' AND need IS NULL")
 def integrate_ready(spark, d):
     return ch.integrate_ready(t.headers(spark, d))
 
@@ -114,11 +116,11 @@ def fork_detect(spark, d):
     return ch.activity(rows).where("fork_at is not null").select("author", "fork_at")
 
 
-@query("authority_ops", H + f"SELECT base, count(*) AS ops, count(*) FILTER (type = 'Create' AND hash NOT IN {DELETED}) AS live FROM h WHERE base <= 50 GROUP BY 1")
+@query("authority_ops", H + f"SELECT base, count(*) AS ops, count(*) FILTER (type = 'Create' AND hash NOT IN {DELETED}) AS live FROM h GROUP BY 1")
 def authority_ops(spark, d):
     h = t.headers(spark, d)
     gone = ch.targets(h, "Delete").withColumn("gone", F.lit(1))
-    return h.where("base <= 50").join(gone, "hash", "left").groupBy("base").agg(F.count(F.lit(1)).alias("ops"), F.count_if((F.col("type") == "Create") & F.col("gone").isNull()).alias("live"))
+    return h.join(gone, "hash", "left").groupBy("base").agg(F.count(F.lit(1)).alias("ops"), F.count_if((F.col("type") == "Create") & F.col("gone").isNull()).alias("live"))
 
 
 @query("gossip_oldest", "SELECT arg_min(agent, struct_pack(m := moment, a := agent)) AS agent FROM (SELECT user_id AS agent, max(CASE WHEN event_type = 'error' THEN ts END) AS err, min(ts) AS moment FROM events GROUP BY 1) WHERE err IS NULL OR err < TIMESTAMP '2100-01-01'")
@@ -154,14 +156,14 @@ def gossip_query(spark, d):
     return rows.where("hash between 100 and 600 and (loc between 10 and 90 or loc between 500 and 520)")
 
 
-WIKI = "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'src' || (c_custkey % 5) || '/en/' || c_custkey || '.md' WHEN 1 THEN 'src' || (c_custkey % 5) || '/en/' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS link FROM customer WHERE c_custkey < 300"
+WIKI = "SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'src' || (c_custkey % 5) || '/en/' || c_custkey || '.md' WHEN 1 THEN 'src' || (c_custkey % 5) || '/en/' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS link FROM customer"
 
 
 @query("resolve_wikilink", f"""WITH n AS ({t.NOTES_SQL}) SELECT id, link, coalesce((SELECT path FROM n WHERE path = link), (SELECT path FROM n WHERE path = link || '.md'), (SELECT min(path) FROM n WHERE CAST(doc_id AS VARCHAR) = regexp_extract(link, '([^/]*?)(\\.md)?$', 1))) AS path FROM ({WIKI})""")
 def resolve_wikilink(spark, d):
     from ..operators import vault
 
-    c = t.table(spark, d, "customer").where("c_custkey < 300")
+    c = t.table(spark, d, "customer")
     link = F.expr("case c_custkey % 3 when 0 then 'src' || (c_custkey % 5) || '/en/' || c_custkey || '.md' when 1 then 'src' || (c_custkey % 5) || '/en/' || c_custkey else string(c_custkey) end")
     return vault.resolve(c.select(F.col("c_custkey").alias("id"), link.alias("link")), t.notes(spark, d).select("path")).select("id", "link", "path")
 
@@ -173,34 +175,35 @@ def exists_cond(spark, d):
     return g.find(rows, predicate="in_region").join(some, "subject", "left_semi").select("subject")
 
 
-@query("not_exists_cond", "SELECT 'nation:' || n_nationkey AS subject FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
+@query("not_exists_cond", "SELECT 'customer:' || c_custkey AS subject FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_exists_cond(spark, d):
-    rows = t.triples(spark, d)
-    some = g.find(rows, predicate="in_nation").where("subject like 'supplier:%'").select(F.col("node").alias("subject"))
-    return g.find(rows, predicate="in_region").join(some, "subject", "left_anti").select("subject")
+    find = lambda predicate, obj=None: g.find(t.triples(spark, d, predicate=predicate, obj=obj), predicate=predicate, obj=obj)
+    pending = find("status", {"kind": "String", "str": "P"}).select(F.col("subject").alias("order"))
+    some = find("placed_by").select(F.col("subject").alias("order"), F.col("node").alias("subject")).join(pending, "order", "left_semi")
+    return find("segment").join(some, "subject", "left_anti").select("subject")
 
 
-PAIRS = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings ORDER BY vec_id LIMIT 300),
+PAIRS = """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
  p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS cosine FROM v a JOIN v b ON a.id < b.id) """
 
 
-def vectors(spark, d, most=300):
-    return t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")).where(f"id < {most}")
+def vectors(spark, d):
+    return t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-@query("cosine_pairs", PAIRS + "SELECT a, b, cosine FROM p WHERE cosine >= 0.5")
+@query("cosine_pairs", PAIRS + "SELECT a, b, cosine FROM p WHERE cosine >= 0.4")
 def cosine_pairs(spark, d):
-    return sim.similar_pairs(vectors(spark, d), 0.4999995).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return sim.similar_pairs(vectors(spark, d), 0.3999995).select("a", "b", F.round("cosine", 6).alias("cosine")).where("cosine >= 0.4")
 
 
-NAMES = "SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g')) AS name FROM part WHERE p_partkey <= 200"
+NAMES = "SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9\\s]', '', 'g')) AS name FROM part"
 
 
 @query("fuzzy_names", f"WITH n AS ({NAMES}) SELECT a.name, b.name AS listed, round(1 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE), 6) AS score FROM n a JOIN n b ON a.name < b.name WHERE 1 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) >= 0.6")
 def fuzzy_names(spark, d):
-    names = t.table(spark, d, "part").where("p_partkey <= 200").select(sim.normalize_name(F.col("p_name")).alias("name")).distinct()
-    both = names.join(F.broadcast(names.withColumnRenamed("name", "listed")), F.col("name") < F.col("listed"))
-    return both.withColumn("score", sim.levenshtein_similarity(F.col("name"), F.col("listed"))).where("score >= 0.6").withColumn("score", F.round("score", 6))
+    names = t.table(spark, d, "part").select(sim.normalize_name(F.col("p_name")).alias("name")).distinct()
+    found = sim.fuzzy_matches(names, names, 0.6, {"edit": sim.levenshtein_similarity})
+    return found.where("name < listed").select("name", "listed", F.round("score", 6).alias("score"))
 
 
 @query("jaro_winkler", "SELECT c_custkey AS id, round(jaro_winkler_similarity(lower(c_name), lower(c_mktsegment || c_name)), 6) AS score FROM customer")
@@ -209,10 +212,16 @@ def jaro_winkler(spark, d):
     return c.select(F.col("c_custkey").alias("id"), F.round(sim.jaro_winkler(F.lower("c_name"), F.lower(F.concat("c_mktsegment", "c_name"))), 6).alias("score"))
 
 
-@query("sanctions_screen")
+LISTED = NAMES.replace("FROM part", "FROM part WHERE p_partkey % 50 = 0").replace("AS name", "AS listed")
+LEV = "1 - levenshtein(name, listed) / CAST(greatest(length(name), length(listed)) AS DOUBLE)"
+
+
+@query("sanctions_screen", f"SELECT name, listed, round(greatest({LEV}, jaro_winkler_similarity(name, listed)), 6) AS score FROM ({NAMES}) n, ({LISTED}) l WHERE greatest({LEV}, jaro_winkler_similarity(name, listed)) >= 0.85")
 def sanctions_screen(spark, d):
-    names = t.table(spark, d, "customer").select(F.col("c_name").alias("name"))
-    return sim.fuzzy_matches(names, t.table(spark, d, "supplier").select(F.col("s_name").alias("name")), 0.85)
+    names = t.table(spark, d, "part").select(F.col("p_name").alias("name"))
+    listed = t.table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_name").alias("name"))
+    ways = {"edit": sim.levenshtein_similarity, "letters": sim.jaro_winkler}
+    return sim.fuzzy_matches(names, listed, 0.85, ways).select("name", "listed", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "name", "listed")
 
 
 @query("identifier_match", "SELECT c_custkey AS entity, s_suppkey AS listed, 1.0::DOUBLE AS confidence FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
@@ -227,6 +236,6 @@ def as_of_action(spark, d):
     return traces.as_of(e.where("event_type = 'error'"), e.where("event_type = 'purchase'")).select("agent", F.col("id").alias("at"), F.coalesce("action", F.lit(-1)).alias("action"))
 
 
-@query("receipts_list", H + "SELECT base, count(*) AS receipts FROM h WHERE state = 'F' AND base <= 20 GROUP BY 1")
+@query("receipts_list", H + "SELECT base, count(*) AS receipts FROM h WHERE state = 'F' GROUP BY 1")
 def receipts_list(spark, d):
-    return t.headers(spark, d).where("state = 'F' and base <= 20").groupBy("base").agg(F.count(F.lit(1)).alias("receipts"))
+    return t.headers(spark, d).where("state = 'F'").groupBy("base").agg(F.count(F.lit(1)).alias("receipts"))

@@ -48,9 +48,9 @@ def temporal_cycle(spark, d):
     return r.temporal_cycles(b).select(F.col("a"), F.col("b"))
 
 
-@query("disjoint_types", "WITH y AS (SELECT DISTINCT l_partkey AS s, l_returnflag AS t FROM lineitem WHERE l_partkey < 100) SELECT DISTINCT a.s, a.t AS t1, b.t AS t2 FROM y a JOIN y b ON a.s = b.s WHERE a.t = 'A' AND b.t = 'N'")
+@query("disjoint_types", "WITH y AS (SELECT DISTINCT l_partkey AS s, l_returnflag AS t FROM lineitem) SELECT DISTINCT a.s, a.t AS t1, b.t AS t2 FROM y a JOIN y b ON a.s = b.s WHERE a.t = 'A' AND b.t = 'N'")
 def disjoint_types(spark, d):
-    y = t.table(spark, d, "lineitem").where("l_partkey < 100").select(F.col("l_partkey").alias("s"), F.col("l_returnflag").alias("t")).distinct()
+    y = t.table(spark, d, "lineitem").select(F.col("l_partkey").alias("s"), F.col("l_returnflag").alias("t")).distinct()
     return r.disjoint_violations(y, spark.createDataFrame([("A", "N")], "t1 string, t2 string"))
 
 
@@ -109,11 +109,11 @@ def policy_condition(spark, d):
     return t.table(spark, d, "events").where(r.condition(("or", ("below", 5.0), ("equals", 50.0)))).select("event_id")
 
 
-GOALS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey // 5 * 5 END AS parent, p_size % 4 = 0 AS done, p_size / 50.0::DOUBLE AS progress, p_size % 3 AS priority, p_size % 7 AS deadline FROM part WHERE p_partkey < 2000"
+GOALS = "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey // 5 * 5 END AS parent, p_size % 4 = 0 AS done, p_size / 50.0::DOUBLE AS progress, p_size % 3 AS priority, p_size % 7 AS deadline FROM part"
 
 
 def goals(spark, d):
-    return t.table(spark, d, "part").where("p_partkey < 2000").select(
+    return t.table(spark, d, "part").select(
         F.col("p_partkey").alias("id"),
         F.when(F.col("p_partkey") % 5 != 0, F.expr("p_partkey div 5 * 5")).alias("parent"),
         (F.col("p_size") % 4 == 0).alias("done"),
@@ -138,9 +138,16 @@ def goal_conflicts(spark, d):
     return r.goal_conflicts(goals(spark, d).where("not done"))
 
 
-@query("goal_toposort", f"WITH g AS ({GOALS}) SELECT id, CASE WHEN parent IS NULL THEN 1 ELSE 0 END AS rank FROM g")
+#: Goals that depend on others: each on that of a fifth of its number, and on its neighbour below if its size is even.
+NEEDS = "SELECT p_partkey AS goal, p_partkey // 5 AS needs FROM part WHERE p_partkey >= 5 UNION SELECT p_partkey, p_partkey - 1 FROM part WHERE p_partkey > 1 AND p_size % 2 = 0"
+
+
+@query("goal_toposort", f"WITH RECURSIVE e AS ({NEEDS}), r(id, rank) AS (SELECT p_partkey, 0 FROM part UNION SELECT e.goal, rank + 1 FROM r JOIN e ON e.needs = r.id) SELECT id, CAST(max(rank) AS INTEGER) AS rank FROM r GROUP BY 1")
 def goal_toposort(spark, d):
-    return goals(spark, d).select("id", F.when(F.col("parent").isNull(), 1).otherwise(0).alias("rank"))
+    p = t.table(spark, d, "part")
+    needs = p.where("p_partkey >= 5").select(F.col("p_partkey").alias("goal"), F.expr("p_partkey div 5").alias("needs"))
+    needs = needs.unionByName(p.where("p_partkey > 1 and p_size % 2 = 0").select(F.col("p_partkey").alias("goal"), (F.col("p_partkey") - 1).alias("needs")))
+    return r.topological_order(p.select(F.col("p_partkey").alias("id")), needs)
 
 
 @query("consensus", "SELECT o_custkey AS proposal, count(*) FILTER (o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) AS ratio FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'F') / CAST(count(*) AS DOUBLE) >= 0.5")

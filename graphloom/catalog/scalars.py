@@ -101,7 +101,7 @@ def chunk_fixed(spark, d):
     return v.fixed_chunks(t.notes(spark, d).withColumnRenamed("text", "content"), 2).select("path", "line_start", "text")
 
 
-MD = "'---\\ntags: [' || lang || ', X' || doc_id % 3 || ']\\n---\\n# Note ' || doc_id || '\\nsee [[n' || (doc_id * 7 + 1) % 50 || '|alias]] #tag' || doc_id % 4 || '\\n```\\n[[hidden]]\\n```\\n## Part\\n- [' || CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE ' ' END || '] do ' || doc_id || ' [#' || CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || '] due: 2024-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) || '\\n{{cloze c' || doc_id || '}}'"
+MD = "'---\\ntags: [' || lang || ', X' || doc_id % 3 || ']\\n---\\n# Note ' || doc_id || '\\nsee [[n' || (doc_id * 7 + 1) % 50 || '|alias]] #tag' || doc_id % 4 || '\\n```\\n[[hidden]]\\n```\\n## Part\\n- [' || CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE ' ' END || '] do ' || doc_id || ' [#' || CASE doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || '] 📅 2024-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) || ' 🔁 every ' || (doc_id % 3 + 1) || ' days\\n{{cloze c' || doc_id || '}}'"
 
 
 def markdown(spark, d):
@@ -134,7 +134,7 @@ def chunk_markdown(spark, d):
     return v.heading_chunks(markdown(spark, d))
 
 
-TASK = "SELECT doc_id, doc_id % 2 = 0 AS done, 'do ' || doc_id AS text, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, '2024-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) AS due FROM documents"
+TASK = "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'todo' END AS status, 'do ' || doc_id AS text, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority, '2024-0' || (doc_id % 9 + 1) || '-1' || (doc_id % 10) AS due, (doc_id % 3 + 1) || 'd' AS recurrence FROM documents"
 
 
 def tasks(spark, d):
@@ -144,7 +144,7 @@ def tasks(spark, d):
 
 @query("parse_task", TASK)
 def parse_task(spark, d):
-    return tasks(spark, d).select("doc_id", "done", "text", "priority", "due")
+    return tasks(spark, d).select("doc_id", "status", "text", "priority", "due", "recurrence")
 
 
 @query("list_tasks", f"SELECT text, priority, due FROM ({TASK}) ORDER BY due, CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, text LIMIT 100")
@@ -152,7 +152,7 @@ def list_tasks(spark, d):
     return tasks(spark, d).orderBy(*v.task_order()).limit(100).select("text", "priority", "due")
 
 
-@query("agenda", f"SELECT text, CASE WHEN due < '2024-05-14' THEN 'overdue' WHEN due = '2024-05-14' THEN 'today' ELSE 'upcoming' END AS bucket FROM ({TASK}) WHERE NOT done AND due <= '2024-06-13'")
+@query("agenda", f"SELECT text, CASE WHEN due < '2024-05-14' THEN 'overdue' WHEN due = '2024-05-14' THEN 'today' ELSE 'upcoming' END AS bucket FROM ({TASK}) WHERE status = 'todo' AND due <= '2024-06-13'")
 def agenda(spark, d):
     return v.agenda(tasks(spark, d), "2024-05-14", 30).select("text", "bucket")
 

@@ -24,8 +24,8 @@ ask("sparql_regex", "SELECT ?c WHERE { ?c <segment> ?s FILTER(REGEX(?s, '^b', 'i
 ask("sparql_type_tests", "SELECT ?p ?o WHERE { <nation:3> ?p ?o FILTER(ISIRI(?o) && !ISLITERAL(?o) && !ISBLANK(?o)) }", "SELECT 'rdf:type' AS p, 'type:Nation' AS o UNION ALL SELECT 'in_region', 'region:' || n_regionkey FROM nation WHERE n_nationkey = 3")
 ask("sparql_str_functions", "SELECT ?n ?u ?l WHERE { ?n a <type:Nation> ; <has_name> ?x BIND(UCASE(?x) AS ?u) BIND(STRLEN(?x) AS ?l) }", "SELECT 'nation:' || n_nationkey AS n, upper(n_name) AS u, CAST(length(n_name) AS VARCHAR) AS l FROM nation")
 ask("sparql_exists", "SELECT ?c WHERE { ?c a <type:Customer> FILTER EXISTS { ?o <placed_by> ?c } }", f"SELECT {C} AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-ask("sparql_not_exists", "SELECT ?c WHERE { ?c a <type:Customer> FILTER NOT EXISTS { ?o <placed_by> ?c } }", f"SELECT {C} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-ask("sparql_minus", "SELECT ?n WHERE { ?n a <type:Nation> MINUS { ?s a <type:Supplier> . ?s <in_nation> ?n } }", "SELECT 'nation:' || n_nationkey AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+ask("sparql_not_exists", "SELECT ?c WHERE { ?c a <type:Customer> FILTER NOT EXISTS { ?o <placed_by> ?c . ?o <status> 'P' } }", f"SELECT {C} AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+ask("sparql_minus", "SELECT ?n WHERE { ?n a <type:Nation> MINUS { ?n <in_region> <region:1> } }", "SELECT 'nation:' || n_nationkey AS n FROM nation WHERE n_regionkey <> 1")
 ask("sparql_join", "SELECT ?s ?n ?name WHERE { { ?s a <type:Supplier> . ?s <in_nation> ?n } { ?n <has_name> ?name } }", "SELECT 'supplier:' || s_suppkey AS s, 'nation:' || n_nationkey AS n, n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 ask("sparql_optional", "SELECT ?n ?s WHERE { ?n a <type:Nation> OPTIONAL { ?s <in_nation> ?n . ?s a <type:Supplier> } }", "SELECT 'nation:' || n_nationkey AS n, 'supplier:' || s_suppkey AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
 ask("sparql_union", "SELECT ?x WHERE { { ?x a <type:Nation> } UNION { ?x a <type:Region> } UNION { ?x <in_region> <region:1> } }", "SELECT 'nation:' || n_nationkey AS x FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 1")

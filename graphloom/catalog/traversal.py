@@ -30,9 +30,9 @@ def traverse_bounded(spark, d):
     return tr.reachable(t.links(spark, d), [7], 3)
 
 
-@query("ltm_traverse", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE l_partkey <= 40), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 2) SELECT node, min(depth) AS depth FROM r WHERE node <> 1 GROUP BY 1")
+@query("ltm_traverse", "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 2) SELECT node, min(depth) AS depth FROM r WHERE node <> 1 GROUP BY 1")
 def ltm_traverse(spark, d):
-    e = t.table(spark, d, "lineitem").where("l_partkey <= 40").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
+    e = t.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
     return tr.reachable(e, [1], 2)
 
 
@@ -81,31 +81,31 @@ def ownership_tree(spark, d):
     return tr.reachable(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), [end], 5)
 
 
-SCC = f"WITH RECURSIVE {L}, s AS (SELECT * FROM l WHERE src < 150 AND dst < 150), r(a, b) AS (SELECT src, dst FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a IN (SELECT p.a FROM r p JOIN r q ON p.a = q.b AND p.b = q.a WHERE p.a <> p.b) GROUP BY 1"
+SCC = f"WITH RECURSIVE {L}, s AS (SELECT * FROM l), r(a, b) AS (SELECT src, dst FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a IN (SELECT p.a FROM r p JOIN r q ON p.a = q.b AND p.b = q.a WHERE p.a <> p.b) GROUP BY 1"
 
 
 @query("scc", SCC)
 def scc(spark, d):
-    return tr.strongly_connected(t.links(spark, d).where("src < 150 and dst < 150"))
+    return tr.strongly_connected(t.links(spark, d))
 
 
-SMALL = "(SELECT src, dst FROM l WHERE src % 4 = 1 AND dst % 3 = 1)"
+SMALL = "l"
 
 
 @query("components", f"WITH RECURSIVE {L}, u AS (SELECT src, dst FROM {SMALL} UNION SELECT dst, src FROM {SMALL}), r(a, b) AS (SELECT src, dst FROM u UNION SELECT r.a, u.dst FROM r JOIN u ON u.src = r.b), c AS (SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a) SELECT node, component FROM c WHERE component IN (SELECT component FROM c GROUP BY 1 HAVING count(*) > 3)")
 def components(spark, d):
-    return tr.sized_components(t.links(spark, d).where("src % 4 = 1 and dst % 3 = 1"))
+    return tr.sized_components(t.links(spark, d))
 
 
-@query("semantic_clusters", "WITH RECURSIVE " + PAIRS[5:] + ", u AS (SELECT a, b FROM p WHERE cosine >= 0.5 UNION SELECT b, a FROM p WHERE cosine >= 0.5), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, least(a, min(b)) AS cluster FROM r GROUP BY a")
+@query("semantic_clusters", "WITH RECURSIVE " + PAIRS[5:] + ", u AS (SELECT a, b FROM p WHERE cosine >= 0.4 UNION SELECT b, a FROM p WHERE cosine >= 0.4), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, least(a, min(b)) AS cluster FROM r GROUP BY a")
 def semantic_clusters(spark, d):
     from ..plans.fixpoint import components as join
 
-    pairs = sim.similar_pairs(vectors(spark, d), 0.4999995).select("a", "b", F.round("cosine", 6).alias("c")).where("c >= 0.5")
+    pairs = sim.similar_pairs(vectors(spark, d), 0.3999995).select("a", "b", F.round("cosine", 6).alias("c")).where("c >= 0.4")
     return join(pairs.select("a", "b")).select("node", F.col("component").alias("cluster"))
 
 
-@query("high_risk_networks", f"WITH {L}, {BOTH}, n AS (SELECT doc_id AS id, doc_id % 10 AS score FROM documents), s AS (SELECT id FROM n WHERE score >= 7 AND id < 60), e AS (SELECT id AS seed, id AS node FROM s UNION SELECT s.id, u.dst FROM s JOIN u ON u.src = s.id UNION SELECT s.id, v.dst FROM s JOIN u ON u.src = s.id JOIN u v ON v.src = u.dst) SELECT seed, count(*) AS nodes, max(score) AS max_score FROM e JOIN n ON n.id = e.node GROUP BY 1")
+@query("high_risk_networks", f"WITH {L}, {BOTH}, n AS (SELECT doc_id AS id, doc_id % 10 AS score FROM documents), s AS (SELECT id FROM n WHERE score >= 7), e AS (SELECT id AS seed, id AS node FROM s UNION SELECT s.id, u.dst FROM s JOIN u ON u.src = s.id UNION SELECT s.id, v.dst FROM s JOIN u ON u.src = s.id JOIN u v ON v.src = u.dst) SELECT seed, count(*) AS nodes, max(score) AS max_score FROM e JOIN n ON n.id = e.node GROUP BY 1")
 def high_risk_networks(spark, d):
     scores = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("score"))
-    return tr.ego_networks(t.links(spark, d), scores.where("score >= 7 and id < 60"), scores)
+    return tr.ego_networks(t.links(spark, d), scores.where("score >= 7"), scores)

@@ -18,7 +18,7 @@ SHOWN = ["subject", "predicate", "kind", "coalesce(node, str, cast(`int` as stri
 def shape(name: str, where: str, **bound) -> None:
     @query(name, f"SELECT {COLS} FROM ({TRIPLES}) WHERE {where}")
     def run(spark, d):
-        return g.find(t.triples(spark, d), **bound).selectExpr(*SHOWN)
+        return g.find(t.triples(spark, d, **bound) if bound else t.every_triple(spark, d), **bound).selectExpr(*SHOWN)
 
 
 shape("scan_triples", "true")
@@ -43,9 +43,9 @@ def pattern_matches(spark, d):
 
 @query("get_contains", f"SELECT count(*) > 0 AS present FROM ({TRIPLES}) WHERE subject = 'region:1' AND predicate = 'rdf:type'")
 def get_contains(spark, d):
-    rows = t.triples(spark, d)
+    rows = t.triples(spark, d, subject="region:1")
     wanted = model.with_id(g.find(rows, "region:1", "rdf:type")).select("triple_id")
-    return model.with_id(rows.where(F.col("subject") == "region:1")).join(wanted, "triple_id", "left_semi").agg((F.count(F.lit(1)) > 0).alias("present"))
+    return model.with_id(g.find(rows, "region:1")).join(wanted, "triple_id", "left_semi").agg((F.count(F.lit(1)) > 0).alias("present"))
 
 
 @query("subjects_with_prefix", f"SELECT DISTINCT subject FROM ({TRIPLES}) WHERE starts_with(subject, 'customer:1')")
@@ -58,33 +58,33 @@ ORDERED = 'ORDER BY subject, predicate, CASE kind WHEN \'Node\' THEN 0 WHEN \'St
 
 @query("query_builder", f"SELECT {COLS} FROM ({TRIPLES}) WHERE predicate = 'has_name' {ORDERED} LIMIT 25 OFFSET 10")
 def query_builder(spark, d):
-    return g.builder(t.triples(spark, d), 10, 25, predicate="has_name")[0].selectExpr(*SHOWN)
+    return g.builder(t.triples(spark, d, predicate="has_name"), 10, 25, predicate="has_name")[0].selectExpr(*SHOWN)
 
 
 @query("query_builder_totals", f"SELECT count(*) AS total_count, count(*) - 10 > 25 AS has_more FROM ({TRIPLES}) WHERE predicate = 'has_name'")
 def query_builder_totals(spark, d):
-    return g.builder(t.triples(spark, d), 10, 25, predicate="has_name")[1]
+    return g.builder(t.triples(spark, d, predicate="has_name"), 10, 25, predicate="has_name")[1]
 
 
 @query("query_pattern", f"SELECT {COLS} FROM ({TRIPLES}) WHERE predicate = 'acctbal' AND starts_with(subject, 'supplier:') {ORDERED} LIMIT 10000")
 def query_pattern(spark, d):
-    rows = g.in_namespace(g.find(t.triples(spark, d), predicate="acctbal"), "supplier")
+    rows = g.in_namespace(g.find(t.triples(spark, d, predicate="acctbal"), predicate="acctbal"), "supplier")
     return g.page(rows, ["subject", "predicate", *model.value_order()], 0, 50_000, g.MOST_ROWS).selectExpr(*SHOWN)
 
 
 @query("host_graph_query", f"SELECT {COLS} FROM ({TRIPLES}) WHERE subject = 'order:1' AND predicate = 'placed_by' {ORDERED} LIMIT 5")
 def host_graph_query(spark, d):
-    return g.page(g.find(t.triples(spark, d), "order:1", "placed_by"), ["subject", "predicate", *model.value_order()], 0, 5).selectExpr(*SHOWN)
+    return g.page(g.find(t.triples(spark, d, "order:1", "placed_by"), "order:1", "placed_by"), ["subject", "predicate", *model.value_order()], 0, 5).selectExpr(*SHOWN)
 
 
 @query("list_triples", f"SELECT {COLS} FROM ({TRIPLES}) WHERE predicate = 'in_nation' {ORDERED} LIMIT 100 OFFSET 20")
 def list_triples(spark, d):
-    return g.page(g.find(t.triples(spark, d), predicate="in_nation"), ["subject", "predicate", *model.value_order()], 20).selectExpr(*SHOWN)
+    return g.page(g.find(t.triples(spark, d, predicate="in_nation"), predicate="in_nation"), ["subject", "predicate", *model.value_order()], 20).selectExpr(*SHOWN)
 
 
 @query("namespace_scope", f"SELECT subject, CASE WHEN starts_with(subject, 'nation:') THEN subject ELSE 'nation:' || subject END AS scoped FROM ({TRIPLES}) WHERE predicate = 'has_name' AND (starts_with(subject, 'nation:') OR starts_with(subject, 'region:'))")
 def namespace_scope(spark, d):
-    rows = g.find(t.triples(spark, d), predicate="has_name")
+    rows = g.find(t.triples(spark, d, predicate="has_name"), predicate="has_name")
     both = g.in_namespace(rows, "nation").unionByName(g.in_namespace(rows, "region"))
     return both.select("subject", g.scoped("nation", F.col("subject")).alias("scoped"))
 
@@ -96,7 +96,7 @@ def policy_hidden(spark, d):
 
 @query("semantic_query", f"SELECT {COLS} FROM ({TRIPLES}) WHERE starts_with(subject, 'nation:1') AND predicate = 'in_region' {ORDERED} LIMIT 50")
 def semantic_query(spark, d):
-    rows = g.find(t.triples(spark, d), predicate="in_region").where(F.col("subject").startswith("nation:1"))
+    rows = g.find(t.triples(spark, d, predicate="in_region"), predicate="in_region").where(F.col("subject").startswith("nation:1"))
     return g.page(rows, ["subject", "predicate", *model.value_order()], 0, 50).selectExpr(*SHOWN)
 
 

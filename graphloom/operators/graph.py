@@ -23,7 +23,7 @@ def pattern(subject: str | None = None, predicate: str | None = None, obj: dict
 
 
 def find(triples: DataFrame, subject: str | None = None, predicate: str | None = None, obj: dict | None = None) -> DataFrame:
-    """All eight shapes of bound and free positions; the filter folds union branches and reaches the scan."""
+    """All eight shapes of bound and free positions; where names are computed, sources.tables.triples() takes the same positions and prunes its scans."""
     return triples.where(pattern(subject, predicate, obj))
 
 

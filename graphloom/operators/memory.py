@@ -12,8 +12,14 @@ from pyspark.sql import types as T
 
 from .similarity import cosine
 
-#: Words that say nothing in a question.
-STOP_WORDS = "the and for are was were what when where which who whom how why that this with from into about does did has have had can could would should will its not you your our their they them then than there".split()
+#: Function words of English, Spanish, French, Portuguese, Italian and German.
+STOP_WORDS = (
+    "the and for are was were what which who whom how why when where does did can could with from this that these those "
+    "you your our their his her its have has had not but all any about into than then them they there here que qué "
+    "los las del una unos unas por con para como cómo cuando cuándo donde dónde quien quién cual cuál cuales esta está este estos "
+    "estas están eso esa ese son era eran hay sus sobre desde entre hasta muy mas más porque les des une dans pour avec "
+    "est sont qui quoi comment não uma dos das der die und ist sind mit für wie wer nicht che per non sono "
+).split()
 PASSAGES, OVERFETCH = 24, 48
 
 

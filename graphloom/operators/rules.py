@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import counted, fixpoint, store
+from ..plans.fixpoint import counted, fixpoint, ranks, store
 
 #: Predicates that exclude each other.
 OPPOSED = (("is", "is_not"), ("has", "lacks"), ("true", "false"), ("alive", "dead"), ("exists", "not_exists"), ("enables", "disables"), ("allows", "forbids"), ("before", "after"))
@@ -198,6 +198,11 @@ def goal_conflicts(goals: DataFrame) -> DataFrame:
     return goals.withColumn("b", F.lead("id").over(own)).where("b is not null").select(F.col("id").alias("a"), "b")
 
 
+def topological_order(goals: DataFrame, needs: DataFrame) -> DataFrame:
+    """id, rank of goals(id): every goal ranks above all that it needs(goal, needs), by the longest way; an error if goals need each other."""
+    return ranks(goals.select(F.col("id").alias("node")), needs.select(F.col("needs").alias("src"), F.col("goal").alias("dst"))).select(F.col("node").alias("id"), "rank")
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """a, b: everything that is reached over edges(s, o)."""
     step = store(edges.select("s", "o").distinct())

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.fixpoint import counted, importable
+
+#: Names of a watch list that are broadcast.
+LISTED = 20_000
+
 
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; 0 if lengths differ or a norm is 0."""
@@ -77,23 +83,80 @@ def sound_code(name: Column) -> Column:
     return F.when(letters == "", "").otherwise(F.substring(F.concat(F.upper(F.substring(letters, 1, 1)), codes, F.lit("000")), 1, 4))
 
 
-def similar_pairs(vectors: DataFrame, at_least: float, most: int = 2000) -> DataFrame:
-    """a, b, cosine of all pairs among the first `most` ids at least that alike.
+#: Vectors of a block: two blocks meet in a task.
+BLOCK = 2048
 
-    The bound is the operator's own; within it the pairs are a theta join of a bounded side with itself.
-    """
-    some = vectors.orderBy("id").limit(most)
-    b = some.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    pairs = some.select(F.col("id").alias("a"), F.col("vec").alias("va")).join(F.broadcast(b), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= at_least)
 
+def similar_pairs(vectors: DataFrame, at_least: float) -> DataFrame:
+    """a, b, cosine of all pairs a < b of distinct ids that are at least that alike, over the whole table.
 
-def fuzzy_matches(names: DataFrame, listed: DataFrame, at_least: float, most: int = 10_000) -> DataFrame:
-    """name, listed, score: the best of edit, prefix and token similarity for a watch list of at most `most` names.
-
-    Names are compared once per distinct normal form; the list is the bounded side.
+    Vectors are dealt into blocks by id; each pair of blocks is one product of two bounded matrices, and
+    only pairs that are alike leave it. Vectors of other lengths than the first of their block's, or of norm 0, have cosine 0.
+    """
+    rows, n = counted(vectors.where("id is not null and vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec")))
+    importable(vectors.sparkSession)
+    blocks = max(1, -(-n // BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    meets = rows.withColumn("own", own).select("id", "vec", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = meets.select((F.least("own", "other") * blocks + F.greatest("own", "other")).alias("key"), (F.col("own") > F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("alone"), "id", "vec")
+
+    def unit(vecs: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        lens = vecs.map(len).to_numpy()
+        out = {}
+        for size in np.unique(lens):
+            spots = np.flatnonzero(lens == size)
+            x = np.stack(vecs.iloc[spots].to_list()) if size else np.zeros((len(spots), 0))
+            norm = np.sqrt((x * x).sum(1, keepdims=True))
+            out[int(size)] = spots, np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        return out
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        alone = bool(group["alone"].iloc[0])
+        left = group if alone else group[~group["side"]]
+        right = group if alone else group[group["side"]]
+        one, two = unit(left["vec"]), unit(right["vec"])
+        a_ids, b_ids = left["id"].to_numpy(), right["id"].to_numpy()
+        score = np.zeros((len(left), len(right)))
+        for size, (spots, x) in one.items():
+            if size in two:
+                others, y = two[size]
+                score[np.ix_(spots, others)] = x @ y.T
+        i, j = np.nonzero(score >= at_least)
+        a, b = a_ids[i], b_ids[j]
+        keep = a < b if alone else a != b
+        a, b, s = a[keep], b[keep], score[i, j][keep]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": s})
+
+    return dealt.groupBy("key").applyInPandas(compare, f"a {dict(rows.dtypes)['id']}, b {dict(rows.dtypes)['id']}, cosine double")
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """Share of the words of the longer name that the other has."""
+    one, two = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    return F.size(F.array_intersect(one, two)) / F.greatest(F.size(one), F.size(two)).cast("double")
+
+
+def sound_similarity(a: Column, b: Column) -> Column:
+    return F.when((sound_code(a) == sound_code(b)) & (sound_code(a) != ""), 0.85).otherwise(0.0)
+
+
+#: Ways to compare two normal names, the best of which counts.
+WAYS = {"edit": levenshtein_similarity, "letters": jaro_winkler, "words": token_similarity, "sound": sound_similarity}
+
+
+def fuzzy_matches(names: DataFrame, listed: DataFrame, at_least: float, ways: dict | None = None) -> DataFrame:
+    """name, listed, score: the best of the ways (edit distance, common letters, words, sound code) of each name and each of a watch list.
+
+    Normal forms are compared, each pair once. A side of a counted size is broadcast; a larger one is dealt by
+    blocks of its names, so that each pair of blocks is one task's work.
     """
-    left = names.select(normalize_name(F.col("name")).alias("name")).distinct()
-    right = listed.select(normalize_name(F.col("name")).alias("listed")).distinct().limit(most)
-    pairs = left.join(F.broadcast(right), F.abs(F.length("name") - F.length("listed")) <= 8)
-    return pairs.withColumn("score", F.greatest(levenshtein_similarity(F.col("name"), F.col("listed")), jaro_winkler("name", "listed"))).where(F.col("score") >= at_least)
+    left, n = counted(names.select(normalize_name(F.col("name")).alias("name")).where("name <> ''").distinct())
+    right, m = counted(listed.select(normalize_name(F.col(listed.columns[0])).alias("listed")).where("listed <> ''").distinct())
+    blocks = max(1, -(-m // LISTED))
+    if blocks == 1:
+        pairs = left.join(F.broadcast(right), F.lit(True))
+    else:
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        pairs = left.select("name", every).join(right.withColumn("block", F.pmod(F.xxhash64("listed"), F.lit(blocks)).cast("int")), "block")
+    scores = [way(F.col("name"), F.col("listed")) for way in (ways or WAYS).values()]
+    return pairs.select("name", "listed", (F.greatest(*scores) if len(scores) > 1 else scores[0]).alias("score")).where(F.col("score") >= at_least)

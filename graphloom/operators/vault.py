@@ -117,7 +117,17 @@ def local_graph(links: DataFrame, start: int, depth: int = 2, frontier: int = 16
 
 #: Ranks of priorities.
 PRIORITY = {"high": 0, "medium": 1, "low": 2}
-_TASK = r"^\s*[-*+] \[( |x|X)\] (.*)$"
+#: The mark of a checkbox, or the word that begins a line, and the status that each stands for; other words are open.
+BOXES = {"x": "done", "X": "done", "/": "doing", "-": "canceled", " ": "todo"}
+KEYWORDS = {"DONE": "done", "DOING": "doing", "NOW": "doing", "IN-PROGRESS": "doing", "CANCELED": "canceled", "CANCELLED": "canceled"}
+OPEN_WORDS = ("TODO", "LATER", "WAITING", "WAIT")
+#: The signs before a deadline, a scheduled date and a recurrence, and the letters of its units.
+DUE, SCHEDULED, AGAIN, UNITS = "\U0001f4c5", "\u23f3", "\U0001f501", {"day": "d", "week": "w", "month": "m", "year": "y"}
+_DATE = r"\s*(\d{4}-\d{2}-\d{2})"
+_VALID = r"\s*\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
+_BOX = r"^\s*[-*+]\s+\[([ xX/\-])\](?:\s+(.*))?$"
+_WORD = r"^\s*(?:[-*+]\s+)?(" + "|".join(sorted([*KEYWORDS, *OPEN_WORDS], key=lambda w: (-len(w), w))) + r")\s+(.*)$"
+_RECUR = "(?i)" + AGAIN + r"\s*(?:every\s+)?(?:(\d+)\s+)?(day|week|month|year)s?"
 
 
 def valid_date(text: Column) -> Column:
@@ -125,22 +135,36 @@ def valid_date(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & month.between(1, 12) & day.between(1, 31), F.lit(False))
 
 
+def _lookup(key: Column, values: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for k, v in values.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
 def parse_task(line: Column) -> Column:
-    """done, text, priority, due, scheduled, recurrence of a checkbox line; null for other lines."""
-    body = F.regexp_extract(line, _TASK, 2)
-    date = lambda p: F.nullif(F.regexp_extract(body, p, 1), F.lit(""))
-    due, scheduled = date(r"(?:due|DEADLINE):?\s*<?(\d{4}-\d{2}-\d{2})"), date(r"(?:scheduled|SCHEDULED):?\s*<?(\d{4}-\d{2}-\d{2})")
+    """status, text, priority, due, scheduled, recurrence of a checkbox line or one that begins with a keyword; null for other lines.
+
+    A date that can't be stays in the text and counts as none; a recurrence is a number and a unit's letter (3d).
+    """
+    box = line.rlike(_BOX)
+    body = F.when(box, F.regexp_extract(line, _BOX, 2)).otherwise(F.regexp_extract(line, _WORD, 2))
+    status = F.when(box, _lookup(F.regexp_extract(line, _BOX, 1), BOXES, "todo")).otherwise(_lookup(F.regexp_extract(line, _WORD, 1), KEYWORDS, "todo"))
+    date = lambda sign: F.nullif(F.regexp_extract(body, sign + _DATE, 1), F.lit(""))
+    due, scheduled = date(DUE), date(SCHEDULED)
     letter = F.regexp_extract(body, r"\[#([ABC])\]", 1)
-    text = F.trim(F.regexp_replace(F.regexp_replace(body, r"\[#[ABC]\]|(?i)(?:due|deadline|scheduled):?\s*<?\d{4}-\d{2}-\d{2}>?|every \w+", ""), r"\s+", " "))
+    text = F.regexp_replace(body, rf"\[#[ABC]\]|(?:{DUE}|{SCHEDULED}){_VALID}", "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, _RECUR, ""), r"\s+", " "))
+    count = F.coalesce(F.greatest(F.regexp_extract(body, _RECUR, 1).try_cast("int"), F.lit(1)), F.lit(1))
     return F.when(
-        line.rlike(_TASK),
+        box | line.rlike(_WORD),
         F.struct(
-            (F.lower(F.regexp_extract(line, _TASK, 1)) == "x").alias("done"),
+            status.alias("status"),
             text.alias("text"),
             F.when(letter == "A", "high").when(letter == "B", "medium").when(letter == "C", "low").otherwise("none").alias("priority"),
             F.when(valid_date(due), due).alias("due"),
             F.when(valid_date(scheduled), scheduled).alias("scheduled"),
-            F.nullif(F.regexp_extract(body, r"every (\w+)", 1), F.lit("")).alias("recurrence"),
+            F.when(body.rlike(_RECUR), F.concat(count.cast("string"), _lookup(F.lower(F.regexp_extract(body, _RECUR, 2)), UNITS, "y"))).alias("recurrence"),
         ),
     )
 
@@ -157,7 +181,7 @@ def agenda(tasks: DataFrame, today: str, days: int) -> DataFrame:
     when_ = F.least(F.coalesce("due", F.lit("9999-12-31")), F.coalesce("scheduled", F.lit("9999-12-31")))
     until = F.date_add(F.lit(today).cast("date"), days).cast("string")
     bucket = F.when(when_ < today, "overdue").when(when_ == today, "today").when(when_ <= until, "upcoming")
-    return tasks.where(~F.col("done")).withColumn("bucket", bucket).where("bucket is not null")
+    return tasks.where(F.col("status").isin("todo", "doing")).withColumn("bucket", bucket).where("bucket is not null")
 
 
 def card_status(due: Column, today: str) -> Column:

@@ -195,6 +195,52 @@ def _settle(rows: pa.Table) -> pa.Table:
             return pa.table({"node": ids, "component": ids.take(pa.array(label))})
 
 
+def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, rank (the edges of the longest way to it) over edges(src, dst) without cycles; ValueError if there is one.
+
+    Sources leave the graph, then those that have become sources, and so on; one task does all of it on a graph that it can hold.
+    """
+    kind = dict(nodes.dtypes)["node"]
+    nodes, m = counted(nodes.select("node").distinct())
+    edges, n = counted(edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).distinct())
+    if n + m <= SETTLE:
+        rows = edges.unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst")))
+        found = store(_in_one_task(rows, _ranks, f"node {kind}, rank int"))
+    else:
+        found, left, turn = None, nodes, 0
+        while not left.isEmpty():
+            done = store(left.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(turn).alias("rank")))
+            if done.isEmpty():
+                found = left.select("node", F.lit(-1).alias("rank"))
+                break
+            found = done if found is None else found.unionByName(done)
+            left = store(left.join(done, "node", "left_anti"))
+            edges = store(edges.join(done.select(F.col("node").alias("src")), "src", "left_anti"))
+            turn += 1
+        if found is None:
+            return nodes.select("node", F.lit(0).alias("rank"))
+    if not found.where("rank < 0").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return found
+
+
+def _ranks(rows: pa.Table) -> pa.Table:
+    ids, (src, dst) = _numbered(rows.column("src"), rows.column("dst"))
+    src, dst = src[dst >= 0], dst[dst >= 0]
+    nxt, first = _lists(src, dst, len(ids))
+    open_ = np.bincount(dst, minlength=len(ids))
+    rank, front, turn = np.full(len(ids), -1, np.int64), np.flatnonzero(open_ == 0), 0
+    while len(front):
+        rank[front] = turn
+        lens = first[front + 1] - first[front]
+        upto = np.cumsum(lens)
+        gone = nxt[np.repeat(first[front] - upto + lens, lens) + np.arange(upto[-1])]
+        np.subtract.at(open_, gone, 1)
+        front = np.unique(gone[open_[gone] == 0])
+        turn += 1
+    return pa.table({"node": ids, "rank": pa.array(rank.astype(np.int32))})
+
+
 def strong_components(edges: DataFrame) -> DataFrame | None:
     """node, component (its smallest node) of every node, in one task; None if there are more edges(src, dst) than it may hold."""
     kind = dict(edges.dtypes)["src"]

@@ -2,7 +2,9 @@
 
 triples() is a union of one projection for each predicate, each with literal predicate and kind. A
 filter on the predicate folds the other branches away, and one on a column reaches the Parquet
-scan; a full scan reads each column once.
+scan. Names are computed (customer:5 from a key), which no filter can look into, so bound positions are
+given to triples() itself: it drops the tables that can't hold them and turns names back into keys,
+which are pushed to the scan. every_triple() reads each table once and gives all its facts from a row.
 """
 
 from __future__ import annotations
@@ -45,13 +47,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All facts of the star schema as triples, in one statement: it is parsed and analysed once."""
-    types = {f.name: f.dataType.simpleString() for f in model.SCHEMA.fields}
+_TYPES = {f.name: f.dataType.simpleString() for f in model.SCHEMA.fields}
+
+
+def _cells(fact: tuple) -> str:
+    """The columns of a fact as a select list."""
+    _, subject, predicate, kind, column, payload = fact
+    cells = ", ".join(f"CAST({payload if x == column else 'NULL'} AS {_TYPES[x]}) AS `{x}`" for x in model.PAYLOAD)
+    return f"{subject} AS subject, 'named' AS subject_kind, '{predicate}' AS predicate, '{kind}' AS kind, {cells}"
+
+
+def _key(expression: str, name: str) -> str | None:
+    """The condition on a table's column that makes a name expression give this name; 'true' if it always does, None if it can't."""
+    prefix, _, column = expression.partition("' || ")
+    prefix = prefix[1:]
+    if not column:
+        return "true" if expression == f"'{name}'" else None
+    rest = name.removeprefix(prefix)
+    return f"{column} = {rest}" if name.startswith(prefix) and rest.lstrip("-").isdigit() and str(int(rest)) == rest else None
+
+
+def _condition(fact: tuple, subject: str | None, predicate: str | None, obj: dict) -> str | None:
+    """What a fact's table must hold for the bound positions; None if it can't hold them."""
+    _, name, own, kind, column, payload = fact
+    if predicate not in (None, own) or obj.get("kind", kind) != kind or any(x is not None and k not in ("kind", column) for k, x in obj.items()):
+        return None
+    found = ["true" if subject is None else _key(name, subject)]
+    if obj.get(column) is not None:
+        x = obj[column]
+        if column == "node":
+            found.append(_key(payload, x))
+        elif isinstance(x, str):
+            quoted = x.replace("\\", "\\\\").replace("'", "\\'")
+            found.append(f"{payload} = '{quoted}'")
+        else:
+            found.append(f"{payload} = {x!r}")
+    return None if None in found else " AND ".join(x for x in found if x != "true") or "true"
+
+
+def triples(spark: SparkSession, sf_dir: str, subject: str | None = None, predicate: str | None = None, obj: dict | None = None) -> DataFrame:
+    """Facts of the star schema as triples, all or those of the bound positions; in one statement, parsed and analysed once.
+
+    obj: kind and payload columns, as in operators.graph.pattern().
+    """
+    rows, used = [], set()
+    for fact in FACTS:
+        where = _condition(fact, subject, predicate, obj or {})
+        if where is not None:
+            used.add(fact[0])
+            rows.append(f"SELECT {_cells(fact)} FROM {{{fact[0]}}}" + ("" if where == "true" else f" WHERE {where}"))
+    if not rows:
+        return spark.createDataFrame([], model.SCHEMA)
+    return spark.sql(" UNION ALL ".join(rows), **{name: table(spark, sf_dir, name) for name in sorted(used)})
+
+
+def every_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts, with one scan of each table: a row gives its facts as an array that is laid out."""
+    names = ("subject", "subject_kind", "predicate", "kind", *model.PAYLOAD)
     rows = []
-    for name, subject, predicate, kind, column, payload in FACTS:
-        cells = ", ".join(f"CAST({payload if x == column else 'NULL'} AS {types[x]}) AS `{x}`" for x in model.PAYLOAD)
-        rows.append(f"SELECT {subject} AS subject, 'named' AS subject_kind, '{predicate}' AS predicate, '{kind}' AS kind, {cells} FROM {{{name}}}")
+    for name in sorted({f[0] for f in FACTS}):
+        facts = []
+        for _, subject, predicate, kind, column, payload in (f for f in FACTS if f[0] == name):
+            cells = [subject, "'named'", f"'{predicate}'", f"'{kind}'", *[f"CAST({payload if x == column else 'NULL'} AS {_TYPES[x]})" for x in model.PAYLOAD]]
+            facts.append("named_struct(" + ", ".join(f"'{n}', {x}" for n, x in zip(names, cells)) + ")")
+        rows.append(f"SELECT inline(array({', '.join(facts)})) FROM {{{name}}}")
     return spark.sql(" UNION ALL ".join(rows), **{name: table(spark, sf_dir, name) for name in sorted({f[0] for f in FACTS})})
 
 

@@ -84,9 +84,15 @@ def test_names(spark):
 
 
 def test_tasks_and_notes(spark):
-    lines = ["- [x] write it [#A] due: 2024-02-03 every week", "- [ ] rest due: 2024-13-03", "no task"]
+    lines = [
+        "- [x] write it [#A] \U0001f4c5 2024-02-03 \U0001f501 every week", "- [ ] rest \U0001f4c5 2024-13-03", "no task", "TODO call \u23f3 2024-05-06 \U0001f501 every 3 days", "* [/]  two   words", "+ [-]", "- WAITING for it", "IN-PROGRESS x", "- [ ]x", "DONE", "- [ ] [#B] pay \U0001f4c5 2024-01-02 \u23f3 2024-01-01 \U0001f501 year",
+    ]
     got = [r["t"] for r in spark.createDataFrame([(x,) for x in lines], "l string").select(vault.parse_task(F.col("l")).alias("t")).collect()]
-    assert (got[0]["done"], got[0]["text"], got[0]["priority"], got[0]["due"], got[0]["recurrence"]) == (True, "write it", "high", "2024-02-03", "week")
+    assert tuple(got[0]) == ("done", "write it", "high", "2024-02-03", None, "1w")
+    assert got[1]["text"] == "rest \U0001f4c5 2024-13-03" and got[8] is None and got[9] is None
+    assert tuple(got[3]) == ("todo", "call", "none", None, "2024-05-06", "3d")
+    assert [(r["status"], r["text"]) for r in got[4:8]] == [("doing", "two words"), ("canceled", ""), ("todo", "for it"), ("doing", "x")]
+    assert tuple(got[10]) == ("todo", "pay", "medium", "2024-01-02", "2024-01-01", "1y")
     assert got[1]["due"] is None and got[2] is None
 
 
