@@ -101,3 +101,30 @@ def dag_export_json(spark, d):
 @query("viz_edges_for_node", f"WITH {A} SELECT child, parent FROM e WHERE child = 60 OR parent = 60")
 def viz_edges_for_node(spark, d):
     return dag.edges(t.actions(spark, d)).where("child = 60 or parent = 60")
+
+
+TIPS = "SELECT hash FROM a WHERE {0} AND hash NOT IN (SELECT parent FROM e JOIN a x ON e.child = x.hash WHERE {1})"
+
+
+@query("dag_put", f"WITH {A} " + TIPS.format("true", "true"))
+def dag_put(spark, d):
+    a = t.actions(spark, d)
+    return dag.Log(a.where("hash < 500")).put(a.where("hash >= 500")).tips
+
+
+@query("dag_ingest", f"WITH {A} SELECT 'tip' AS what, hash FROM ({TIPS.format('hash >= 500', 'x.hash >= 500')}) UNION ALL SELECT 'action', hash FROM a")
+def dag_ingest(spark, d):
+    a = t.actions(spark, d)
+    log = dag.Log(a.where("hash >= 500")).ingest(a)
+    return log.tips.select(F.lit("tip").alias("what"), "hash").unionByName(log.actions.select(F.lit("action").alias("what"), "hash"))
+
+
+@query("dag_init", f"WITH {A} SELECT hash FROM a WHERE hash = 0")
+def dag_init(spark, d):
+    a = t.actions(spark, d)
+    return dag.Log.init(a.limit(0), a.where("hash = 0")).tips
+
+
+@query("dag_sync_response", f"WITH RECURSIVE {A}, {UP.format(700)} SELECT hash, author, seq FROM a WHERE hash NOT IN (SELECT hash FROM anc)")
+def dag_sync_response(spark, d):
+    return dag.Log(t.actions(spark, d)).respond([700]).select("hash", "author", "seq")

@@ -239,3 +239,16 @@ def as_of_action(spark, d):
 @query("receipts_list", H + "SELECT base, count(*) AS receipts FROM h WHERE state = 'F' GROUP BY 1")
 def receipts_list(spark, d):
     return t.headers(spark, d).where("state = 'F'").groupBy("base").agg(F.count(F.lit(1)).alias("receipts"))
+
+
+@query("receipts_add", H + "SELECT base, hash FROM h WHERE state = 'F' AND quantity = 50 UNION SELECT base, hash FROM h WHERE state = 'F' AND quantity >= 49")
+def receipts_add(spark, d):
+    h = t.headers(spark, d).where("state = 'F'")
+    return ch.add_receipts(h.where("quantity = 50").select("base", "hash"), h.where("quantity >= 49").select("base", "hash"), ["base", "hash"])
+
+
+@query("merkle_root")
+def merkle_root(spark, d):
+    """The root over the customers' names in order of their keys."""
+    c = t.table(spark, d, "customer").select((F.col("c_custkey") - 1).alias("at"), F.sha2("c_name", 256).alias("hash"))
+    return ch.merkle_levels(c)[-1].select("hash")

@@ -157,3 +157,17 @@ def linear_value(spark, d):
 
     w = F.array(F.lit(0.5), F.lit(0.25), F.lit(-1.0))
     return t.table(spark, d, "embeddings").select("vec_id", F.round(learning.linear_value(w, F.slice(F.col("embedding").cast("array<double>"), 1, 3)), 6).alias("value"))
+
+
+@query("record_access", f"SELECT id, access_count + CASE WHEN id % 4 = 0 THEN 1 ELSE 0 END AS access_count, round(CASE WHEN id % 4 = 0 THEN least(1.0, attention + 0.2) ELSE attention END, 6) AS attention, CASE WHEN id % 4 = 0 THEN 1000 END AS last_accessed_s FROM ({M})")
+def record_access(spark, d):
+    rows = t.memories(spark, d)
+    return m.record_access(rows, rows.where("id % 4 = 0").select("id"), 1000).select("id", "access_count", F.round("attention", 6).alias("attention"), "last_accessed_s")
+
+
+@query("expected_sarsa")
+def expected_sarsa(spark, d):
+    from ..operators import learning
+
+    e = t.table(spark, d, "events").select("user_id", "ts", "event_id", F.floor(F.col("value") / 25).alias("state"), F.col("event_type").alias("action"), (F.col("value") / 100).alias("reward"))
+    return learning.q_values(e, "user_id", ["ts", "event_id"], 0.1, 0.9, explore=0.1)

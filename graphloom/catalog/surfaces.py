@@ -82,3 +82,55 @@ def stream_windows(spark, d):
 @query("stream_anomaly")
 def stream_anomaly(spark, d):
     return s.drained(s.online_anomaly(s.replayed(spark, d)), "anomaly", "append")
+
+
+@query("wal_verify", f"SELECT author, count(*) AS entries, min(seq) = 1 AND max(seq) = count(*) AND count(DISTINCT seq) = count(*) AS ok FROM ({t.ACTIONS_SQL}) GROUP BY 1")
+def wal_verify(spark, d):
+    from ..operators import chain
+
+    return chain.verify_log(t.actions(spark, d), "author", "seq")
+
+
+@query("published_count", "SELECT count(*) AS n FROM lineitem WHERE l_linestatus = 'F'")
+def published_count(spark, d):
+    return t.table(spark, d, "lineitem").agg(F.count_if(F.col("l_linestatus") == "F").alias("n"))
+
+
+@query("latest_seq", H + "SELECT author, max(seq) AS seq FROM h GROUP BY 1")
+def latest_seq(spark, d):
+    return t.headers(spark, d).groupBy("author").agg(F.max("seq").alias("seq"))
+
+
+@query("last_sync", "SELECT user_id AS peer, max(ts) AS at FROM events GROUP BY 1")
+def last_sync(spark, d):
+    return t.table(spark, d, "events").groupBy(F.col("user_id").alias("peer")).agg(F.max("ts").alias("at"))
+
+
+@query("export_turtle_pattern")
+def export_turtle_pattern(spark, d):
+    from ..operators import graph
+    from ..sources import rdf
+
+    return rdf.turtle_blocks(graph.find(t.triples(spark, d, predicate="in_region"), predicate="in_region"))
+
+
+@query("stream_triple_deleted", "SELECT 'event:' || event_id AS subject, 'event_type' AS predicate, event_type AS text FROM events WHERE event_type = 'error' AND starts_with('event:' || event_id, 'event:2')")
+def stream_triple_deleted(spark, d):
+    deletes = s.replayed(spark, d).where("event_type = 'error'")
+    return s.drained(s.triple_added(s.event_facts(deletes), subject_prefix="event:2"), "triple_deleted")
+
+
+@query("note_tag_added", "SELECT doc_id, '---\ntags: [' || lang || ', new]\n---\nx' AS content FROM documents")
+def note_tag_added(spark, d):
+    from ..operators import vault
+
+    notes = t.table(spark, d, "documents").select("doc_id", F.concat(F.lit("---\ntags: ["), "lang", F.lit("]\n---\nx")).alias("content"))
+    return notes.select("doc_id", vault.add_tag(F.col("content"), "new").alias("content"))
+
+
+@query("note_tag_removed", "SELECT doc_id, '---\ntags: [' || lang || ']\n---\nx' AS content FROM documents")
+def note_tag_removed(spark, d):
+    from ..operators import vault
+
+    notes = t.table(spark, d, "documents").select("doc_id", F.concat(F.lit("---\ntags: ["), "lang", F.lit(", old]\n---\nx")).alias("content"))
+    return notes.select("doc_id", vault.remove_tag(F.col("content"), "old").alias("content"))

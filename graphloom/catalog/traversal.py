@@ -109,3 +109,21 @@ def semantic_clusters(spark, d):
 def high_risk_networks(spark, d):
     scores = t.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 10).alias("score"))
     return tr.ego_networks(t.links(spark, d), scores.where("score >= 7"), scores)
+
+
+@query("links_from", f"SELECT dst AS node FROM ({t.LINKS_SQL}) WHERE src = 3")
+def links_from(spark, d):
+    return t.links(spark, d).where("src = 3").select(F.col("dst").alias("node"))
+
+
+@query("links_to", f"SELECT src AS node FROM ({t.LINKS_SQL}) WHERE dst = 22")
+def links_to(spark, d):
+    return t.links(spark, d).where("dst = 22").select(F.col("src").alias("node"))
+
+
+@query("entities_by_type", "SELECT 'supplier:' || s_suppkey AS entity FROM supplier")
+def entities_by_type(spark, d):
+    from ..operators import graph as g
+
+    wanted = {"kind": "Node", "node": "type:Supplier"}
+    return g.find(t.triples(spark, d, predicate="rdf:type", obj=wanted), predicate="rdf:type", obj=wanted).select(F.col("subject").alias("entity"))

@@ -6,11 +6,14 @@ or max_by. Nothing is ordered that isn't asked to be.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import store
+
 
 def targets(headers: DataFrame, *types: str) -> DataFrame:
     return headers.where(F.col("type").isin(*types) & F.col("target").isNotNull()).select(F.col("target").alias("hash")).distinct()
@@ -97,6 +100,49 @@ def newest_only(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFra
     return new.join(known, key, "left").where(F.col("_known").isNull() | (F.col("_known") < F.col(stamp))).drop("_known")
 
 
+def add_receipts(known: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """known and those of new whose key isn't there, each once."""
+    return known.unionByName(new.select(*known.columns).dropDuplicates(key).join(known.select(*key), key, "left_anti").select(*known.columns))
+
+
+def verify_log(entries: DataFrame, author: str, seq: str, first: int = 1) -> DataFrame:
+    """author, entries, ok: whether each author's sequence has every number from the first on, once."""
+    by = entries.groupBy(author).agg(F.count(F.lit(1)).alias("entries"), F.min(seq).alias("low"), F.max(seq).alias("high"), F.count_distinct(seq).alias("n"))
+    return by.select(author, "entries", ((F.col("low") == first) & (F.col("high") - F.col("low") + 1 == F.col("entries")) & (F.col("n") == F.col("entries"))).alias("ok"))
+
+
+def merkle_levels(leaves: DataFrame) -> list[DataFrame]:
+    """Levels of (at, hash) from the leaves(at, hash: hexadecimal) to the root: a node hashes its two children's bytes, an odd last one goes up as it is."""
+    levels = [store(leaves.select("at", "hash"))]
+    n = levels[0].count()
+    while n > 1:
+        both = F.sort_array(F.collect_list(F.struct("at", "hash")))
+        up = levels[-1].groupBy(F.floor(F.col("at") / 2).cast("long").alias("up")).agg(both.alias("x"))
+        joined = F.unhex(F.concat(F.col("x")[0]["hash"], F.get(F.col("x"), 1)["hash"]))
+        levels.append(store(up.select(F.col("up").alias("at"), F.when(F.size("x") == 2, F.sha2(joined, 256)).otherwise(F.col("x")[0]["hash"]).alias("hash"))))
+        n = -(-n // 2)
+    return levels
+
+
+def merkle_proof(levels: list[DataFrame], at: int) -> list[tuple[str, str]]:
+    """(side, hash) of each neighbour on the way from a leaf to the root."""
+    out = []
+    for level in levels[:-1]:
+        row = level.where(F.col("at") == (at ^ 1)).first()
+        if row is not None:
+            out.append(("left" if at & 1 else "right", row["hash"]))
+        at >>= 1
+    return out
+
+
+def merkle_member(leaf: str, proof: list[tuple[str, str]], root: str) -> bool:
+    """Whether a leaf's hash and its proof give the root."""
+    for side, other in proof:
+        pair = other + leaf if side == "left" else leaf + other
+        leaf = hashlib.sha256(bytes.fromhex(pair)).hexdigest()
+    return leaf == root
+
+
 def ring(ops: DataFrame, start: int, end: int, loc: str = "loc") -> DataFrame:
     """Operations within a range of the ring; a range over the ring's end is two scans."""
     if start <= end:

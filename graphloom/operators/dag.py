@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import reach
+from ..plans.fixpoint import reach, store
 
 
 def edges(actions: DataFrame) -> DataFrame:
@@ -30,6 +30,36 @@ def last_of_authors(actions: DataFrame, n: int) -> DataFrame:
     return actions.withColumn("n", F.row_number().over(own)).where(F.col("n") <= n).drop("n")
 
 
+class Log:
+    """Actions and their tips, as a node that takes part in the exchange of actions keeps them.
+
+    put() makes actions tips in their parents' place; ingest() takes in history without touching the tips.
+    """
+
+    def __init__(self, actions: DataFrame, tip_set: DataFrame | None = None):
+        self.actions, self.tips = actions, tips(actions) if tip_set is None else tip_set
+
+    @staticmethod
+    def init(actions: DataFrame, genesis: DataFrame) -> Log:
+        """A log that begins with the genesis action, or the log as it is if it has actions."""
+        return Log(genesis if actions.isEmpty() else actions)
+
+    def _new(self, actions: DataFrame) -> DataFrame:
+        return store(actions.select(*self.actions.columns).dropDuplicates(["hash"]).join(self.actions.select("hash"), "hash", "left_anti").select(*self.actions.columns))
+
+    def put(self, actions: DataFrame) -> Log:
+        new = self._new(actions)
+        heads = self.tips.select("hash").unionByName(new.select("hash")).join(edges(new).select(F.col("parent").alias("hash")), "hash", "left_anti")
+        return Log(self.actions.unionByName(new), store(heads.distinct()))
+
+    def ingest(self, actions: DataFrame) -> Log:
+        return Log(self.actions.unionByName(self._new(actions)), self.tips)
+
+    def respond(self, remote_tips: list[int]) -> DataFrame:
+        """The actions that a peer with these tips lacks; all of ours if we know none of them."""
+        return self.actions.join(missing(self.actions, remote_tips), "hash", "left_semi")
+
+
 def _up(actions: DataFrame) -> DataFrame:
     return edges(actions).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
 

@@ -20,8 +20,12 @@ def likeliest(steps: DataFrame) -> DataFrame:
     return n.groupBy("state", "action").agg(F.max_by("next", F.struct("n", -F.col("next"))).alias("next"))
 
 
-def q_values(steps: DataFrame, key: str, order: list[str], rate: float, discount: float, sarsa: bool = False) -> DataFrame:
-    """key, state, action, q: values learned step by step within each key's sequence."""
+def q_values(steps: DataFrame, key: str, order: list[str], rate: float, discount: float, sarsa: bool = False, explore: float | None = None) -> DataFrame:
+    """key, state, action, q: values learned step by step within each key's sequence.
+
+    What lies ahead is the best action's value, that of the next action (sarsa), or what is expected of a policy that
+    takes the best action but explores with the given probability (expected SARSA).
+    """
     kind = dict(steps.dtypes)[key]
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
@@ -32,6 +36,9 @@ def q_values(steps: DataFrame, key: str, order: list[str], rate: float, discount
         for (s, a, r), after in zip(items, [*items[1:], None]):
             if after is None:
                 ahead = 0.0
+            elif explore is not None:
+                values = [q.get((after[0], x), 0.0) for x in actions]
+                ahead = (1 - explore) * max(values) + explore * sum(values) / len(values)
             elif sarsa:
                 ahead = q.get((after[0], after[1]), 0.0)
             else:

@@ -216,6 +216,34 @@ def frontmatter_tags(content: Column) -> Column:
     return F.filter(F.transform(F.split(inline, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
+def _with_tags(content: Column, tags: Column) -> Column:
+    """content with the list of tags in its front matter, which is made if there is none."""
+    line = F.concat(F.lit("tags: ["), F.array_join(tags, ", "), F.lit("]"))
+    has_head, has_tags = content.rlike(r"(?s)^---\n.*?\n---"), F.regexp_extract(content, r"(?s)^---\n(.*?)\n---", 1).rlike(r"(?m)^tags:\s*\[")
+    head, rest = F.regexp_extract(content, r"(?s)^---\n(.*?)\n---(.*)$", 1), F.regexp_extract(content, r"(?s)^---\n(.*?)\n---(.*)$", 2)
+    parts = F.split(head, "\n")
+    lines = F.when(has_tags, F.transform(parts, lambda x: F.when(x.rlike(r"^tags:\s*\["), line).otherwise(x))).otherwise(F.concat(parts, F.array(line)))
+    return F.when(has_head, F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---"), rest)).otherwise(F.concat(F.lit("---\n"), line, F.lit("\n---\n"), content))
+
+
+def add_tag(content: Column, tag: str) -> Column:
+    """A note with one tag more in its front matter; as it is if it has it."""
+    tags = frontmatter_tags(content)
+    return F.when(F.array_contains(tags, tag.lower()), content).otherwise(_with_tags(content, F.concat(tags, F.array(F.lit(tag.lower())))))
+
+
+def remove_tag(content: Column, tag: str) -> Column:
+    tags = frontmatter_tags(content)
+    return F.when(F.array_contains(tags, tag.lower()), _with_tags(content, F.array_remove(tags, tag.lower()))).otherwise(content)
+
+
+def edit_lines(content: Column, first: int, last: int, text: str) -> Column:
+    """A note whose lines first to last (from 1) are the text instead."""
+    lines = F.split(content, "\n")
+    after = F.when(F.size(lines) > last, F.slice(lines, last + 1, F.greatest(F.size(lines) - last, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.slice(lines, 1, first - 1), F.split(F.lit(text), "\n"), after), "\n")
+
+
 def neutralize(text: Column) -> Column:
     """Markdown marks as plain characters."""
     return F.regexp_replace(text, r"([\\`*_{}\[\]()#+\-.!|<>~])", r"\\$1")

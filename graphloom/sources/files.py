@@ -29,6 +29,24 @@ def changed(files: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows if known is None else rows.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
 
 
+def ingest_stream(spark: SparkSession, path: str, state: str, sink) -> None:
+    """Give sink(rows) the files below a folder that no call before has seen; what was seen is kept in the state folder."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
+    rows = stream.where(F.col("length") <= MOST_BYTES).select("path", F.decode("content", "UTF-8").alias("content"))
+    query = rows.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda batch, _: sink(listed(batch))).start()
+    query.awaitTermination()
+
+
+def export_for_regulator(rows: DataFrame, path: str, since: str, until: str) -> None:
+    """An audit log's rows of a period as CSV with a header, in order of time."""
+    rows.where((F.col("timestamp") >= since) & (F.col("timestamp") < until)).orderBy("timestamp", "request_id").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def load_list(spark: SparkSession, path: str) -> DataFrame:
+    """name, source of a watch list in CSV files with a header; rows without a name are left out."""
+    return spark.read.option("header", "true").schema("name string, source string").csv(path).where("trim(name) <> ''")
+
+
 def append_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

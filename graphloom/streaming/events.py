@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,14 +77,24 @@ def online_anomaly(events: DataFrame, least_z: float = 1.9) -> DataFrame:
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         ids, zs = [], []
+        # sums over the buffer about a fixed point near its values, so that squares stay small
+        middle = held[0] if held else float(rows["value"].iloc[0])
+        total, squares = sum(x - middle for x in held), sum((x - middle) ** 2 for x in held)
+        held = deque(held)
         for event, value in zip(rows["event_id"], rows["value"]):
-            held = [*held[-(BUFFER - 1) :], float(value)]
+            held.append(float(value))
+            total, squares = total + value - middle, squares + (value - middle) ** 2
+            if len(held) > BUFFER:
+                old = held.popleft() - middle
+                total, squares = total - old, squares - old * old
             if len(held) >= LEAST:
-                spread = pd.Series(held).std(ddof=0)
-                z = abs(value - sum(held) / len(held)) / max(spread, 1e-5)
+                mean = total / len(held)
+                spread = max(0.0, squares / len(held) - mean * mean) ** 0.5
+                z = abs(value - middle - mean) / max(spread, 1e-5)
                 if z >= least_z:
                     ids.append(event)
                     zs.append(z)
+        held = list(held)
         state.update((held,))
         yield pd.DataFrame({"event_id": pd.Series(ids, dtype="int64"), "z": pd.Series(zs, dtype="float64")})
 
