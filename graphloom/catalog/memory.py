@@ -83,7 +83,19 @@ def vector_result_filter(spark, d):
 @query("hnsw_search")
 def hnsw_search(spark, d):
     v = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return m.lsh_search(v, v.where("id % 100 = 0"), 10)
+    from ..operators.vectors import VectorIndex
+
+    return VectorIndex.build(v, 64).search(v.where("id % 100 = 0"), 10).select("query", "id", "score")
+
+
+@query("hnsw_stats", "SELECT count(*) AS vectors FROM embeddings WHERE vec_id % 3 <> 0")
+def hnsw_stats(spark, d):
+    """After a build of the even ids, an insert of the rest, a removal and a rebuild."""
+    from ..operators.vectors import VectorIndex
+
+    v = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    index = VectorIndex.build(v.where("id % 2 = 0"), 64).insert(v.where("id % 2 = 1")).remove(v.where("id % 3 = 0").select("id")).rebuild()
+    return index.stats().select("vectors")
 
 
 @query("decay", f"SELECT id, round(attention * pow(0.9, access_count), 6) AS attention FROM ({M})")

@@ -68,28 +68,6 @@ def vector_search(vectors: DataFrame, query: Column, k: int, least: float) -> Da
     return vectors.select("id", F.round(cosine(F.col("vec"), query), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k).where(F.col("score") >= least)
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, planes: int = 6, tables: int = 12, dim: int = 64) -> DataFrame:
-    """query, id, score: candidates that share a bucket of random hyperplanes in some table, reranked exactly."""
-    random = np.random.default_rng(1)
-    normals = random.normal(size=(tables, planes, dim)).tolist()
-
-    def keys(vec: Column) -> Column:
-        out = []
-        for n, table in enumerate(normals):
-            bits = F.lit(0)
-            for plane in table:
-                side = F.aggregate(F.zip_with(vec, F.array(*[F.lit(x) for x in plane]), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) > 0
-                bits = bits * 2 + side.cast("int")
-            out.append(bits + n * (1 << planes))
-        return F.array(*out)
-
-    base = vectors.select("id", "vec", F.explode(keys(F.col("vec"))).alias("key"))
-    asked = queries.select(F.col("id").alias("query"), F.col("vec").alias("qvec"), F.explode(keys(F.col("vec"))).alias("key"))
-    pairs = asked.join(base, "key").where("query <> id").select("query", "id", "qvec", "vec").dropDuplicates(["query", "id"])
-    scored = pairs.select("query", "id", F.round(cosine(F.col("qvec"), F.col("vec")), 6).alias("score"))
-    return scored.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k).drop("n")
-
-
 def decayed(attention: Column, factor: float, intervals: Column) -> Column:
     return attention * F.pow(F.lit(factor), intervals)
 
