@@ -721,3 +721,107 @@ def test_registered_queries_have_the_columns_of_their_contracts(spark):
         rows_of = {"op3_url_filter": "pages", "op8_html_extraction": "pages"}.get(name, "documents")
         if name != "op6_nearest_neighbours":
             assert got.count() == spark.read.parquet(f"{d}/{rows_of}.parquet").count()
+
+
+# --- odd tables ----------------------------------------------------------------------------------
+
+
+def test_urls_odd(spark):
+    rows = [(1, "http://a.example.net/en/x"), (1, "http://a.example.net/en/x"), (None, "http://net/" + "y" * 20_000), (2, "http://q.org/" + "z/" * 9000), (3, "://"), (4, ""), (5, "http://EXAMPLE.com/de/ä?b")]
+    rows += [(10 + i, f"http://h{i}.example.net/{'en' if i % 2 else 'xx'}/{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("score", F.lit("s")).withColumn("codes", F.lit(2)).withColumn("held", F.lit(3))
+    got = urls.filter_urls(df).collect()
+    assert len(got) == len(rows) and {r["verdict"] for r in got} == {"allow", "block"}
+    of = {r["page_id"]: r for r in got}
+    assert (of[3]["host"], of[3]["path"], of[4]["host"]) == ("", "", "") and of[5]["rule"] == "example.com/de/" and of[None]["rule"] == "net/"
+    assert urls.filter_urls(df.limit(0)).count() == 0
+
+
+def test_neighbours_odd(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.0]), (2, [0.1, 1.0]), (None, [1.0, 1.0]), (3, []), (4, [None, 1.0]), (5, [float("inf"), 1.0]), (100, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("id", "vec", "part", "key", "asks", "score"):
+        df = df.withColumn(name, F.lit("c"))
+    got = sorted(map(tuple, ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()))
+    # of the query id 50 the smaller vector (0, 1) asks
+    assert [(q, i) for q, _, i, _ in got] == [(50, 2), (50, 100), (50, 1), (100, 1), (100, 2), (100, 50)]
+    assert got[0][3] == pytest.approx(1 / np.sqrt(1.01)) and got[3][3] == pytest.approx(1.1 / np.sqrt(2 * 1.01))
+    assert ann.nearest_neighbours(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_html_odd(spark):
+    page = "<article><h1>Title of it</h1><p>" + "long words here and there " * 20_000 + "</p></article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (None, None, "plain text"), (2, "u", "<<<>>> &#x0; &bogus; <p")], "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit("x"))
+    got = html.extract(df).collect()
+    assert len(got) == 4 and got[0]["text"] == got[1]["text"] == "Title of it\n\n" + ("long words here and there " * 20_000).strip()
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] is None] == ["plain text"]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_layouts_that_the_training_rule_does_not_write():
+    """Pages by hand: other tags, names in other languages, tables as layout, markup without end tags."""
+    model = html.default_model()
+    body = ["A first paragraph that tells what happened in the town on that day, and to whom.", "A second one, which tells why it happened and what the people there say of it."]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    pages = [
+        f"<body><div id=kopf><a href=/>Start</a> <a href=/2>Zwei</a></div><div id=inhalt>{inner}</div><div id=fuss><a href=/i>Impressum</a></div></body>",
+        f"<body><table><tr><td><a href=/>One</a><br><a href=/2>Two</a></td><td>{inner}</td></tr></table></body>",
+        f"<body><main><section>{inner}</section></main><footer>Copyright</footer></body>",
+        "<body><p>" + "<p>".join(body) + "<ul><li><a href=/a>next</a><li><a href=/b>last</a></ul>",
+    ]
+    for page in pages:
+        got = model.extract([page])[0]
+        assert all(x in got for x in body), (page, got)
+
+
+def test_quality_replaces_columns_of_its_names(spark):
+    odd = odd_docs(spark).withColumn("predicted", F.lit("p"))
+    model = quality.train(odd, odd.select("doc_id").limit(0).withColumn("quality", F.lit(1)))
+    scored = quality.score(odd, model)
+    assert scored.columns.count("score") == scored.columns.count("predicted") == 1 and dict(scored.dtypes)["predicted"] == "int"
+
+
+def test_one_labelled_id_many_times(spark):
+    """A repeated labelled document is learned from once."""
+    rows = [(1, "good words in a row")] * 50 + [(i, f"bad $$$ {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") == 1).cast("int").alias("quality"), (F.col("doc_id") == 1).cast("int").alias("toxic"))
+    assert quality.train(docs, labels, rows=100).constant is None
+    assert toxicity.train(docs, labels).weights.shape == (toxicity.FEATURES,)
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on its own input: what it keeps, by plain Python."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(24)
+    good = [" ".join(f"w{x}" for x in rng.integers(0, 300, 50)) + "." for _ in range(80)]
+    bench = " ".join(f"zz{i}" for i in range(1, 15))
+    texts = [*good, *good[:5], good[7] + " extra", f"{good[9]} {bench}", *["BUY!! $$$ %%% NOW!! " * 5 + str(i) for i in range(30)]]
+    docs = frame(spark, texts)
+    d = str(tmp_path)
+    docs.write.parquet(f"{d}/documents.parquet")
+    labels = docs.select("doc_id", (F.col("doc_id") < 87).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    labels.write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    one = common.materialize(stages["quality"](spark, docs, d), "t")
+    model = quality.train(docs, labels)
+    passed = {r["doc_id"] for r in quality.score(docs, model, ["doc_id"]).where("predicted = 1").collect()}
+    assert {r["doc_id"] for r in one.collect()} == passed == set(range(87))
+    two = common.materialize(stages["near-dedup"](spark, one, d), "t")
+    kept = {i for i, (_, c) in brute_duplicates([(i, texts[i]) for i in passed], 5, 80).items() if c == i}
+    assert {r["doc_id"] for r in two.collect()} == kept
+    three = common.materialize(stages["decontamination"](spark, two, d), "t")
+    assert {r["doc_id"] for r in three.collect()} == {i for i in kept if bench not in texts[i]}
+    four = common.materialize(stages["mixing"](spark, three, d), "t")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.rates(three, labels).collect() if r["copies"]}
+    assert four.groupBy("doc_id").count().count() == len(copies) and four.count() == sum(copies.values())
+    five = stages["token output"](spark, four, d).orderBy("start").collect()
+    encoder, start = tokens.Encoder(tokens.vocabulary()), 0
+    for r, (i, t) in zip(five, sorted((r["doc_id"], r["text"]) for r in four.collect())):
+        own = np.array([*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(own), zlib.crc32(own))
+        start += len(own)
+    whole = corpus_pipeline.run(spark, d)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, five))
