@@ -63,7 +63,7 @@ def nearest(queries: np.ndarray, base: np.ndarray, k: int, skip_self: bool) -> n
         s = queries[at : at + 512] @ base.T
         if skip_self:
             s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-        out.append(np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k].astype(np.int32))  # a copy: a view would keep all of s
     return np.concatenate(out)
 
 
