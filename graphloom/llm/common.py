@@ -26,7 +26,7 @@ from ..plans.fixpoint import components, importable, shared_dir  # noqa: F401
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 #: Bytes of an Arrow batch on its way to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes up to which a written table is broadcast; beyond it Spark joins by shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -52,11 +52,14 @@ def tidy(function: Callable) -> Callable:
     return run
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder, under a name that tells what it is, and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write df as Parquet in the shared folder, under a name that tells what it is, and read it back: cuts lineage, survives lost executors.
+
+    Cells that are packed already are better written without compression, which takes buffers outside the heap as large as the cells.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

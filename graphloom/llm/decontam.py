@@ -2,8 +2,8 @@
 
 positional_index() writes the postings of every term of every training document as a table in the
 shared folder, once, for any number of lookups. The table consists of segments of some
-SEGMENT_BYTES of text: a dictionary of the segment's words (hash, bytes, number of occurrences) and the
-positions of each word in ascending order. A term's list is so split by segment, however
+SEGMENT_BYTES of text: a dictionary of the segment's words (bytes and number of occurrences, in the order of
+their hashes) and the positions of each word in ascending order, all packed as differences. A term's list is so split by segment, however
 frequent the term; all lists that a phrase needs of a document lie in one row, so
 intersections need no shuffle, and nothing grows with a hot term but the number of segments.
 
@@ -42,7 +42,7 @@ from . import common as c
 
 WINDOW = 13
 SLICE_WORDS = 200_000
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 #: Places compared at a time.
 PLACES = 1 << 20
 
@@ -108,7 +108,21 @@ def dictionary(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: n
     return Dictionary(value[heads], letters, upto), order, np.append(heads, len(order))[1:]
 
 
-_SEGMENT = "segment long, keys array<{0}>, first binary, hashes binary, letters binary, letter_ends binary, ends binary, postings binary"
+_SEGMENT = "segment long, keys array<{0}>, first binary, moved binary, letters binary, letter_sizes binary, counts binary, postings binary"
+#: What looking words up takes, and what finding their places takes besides.
+_WORDS, _PLACES = ("moved", "letters", "letter_sizes", "counts"), ("first", "postings")
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as their count and zstd of their four bytes, all first bytes first: small numbers leave zeros in a row."""
+    raw = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(cell: bytes) -> np.ndarray:
+    n = int.from_bytes(cell[:8], "little")
+    raw = np.frombuffer(pa.decompress(cell[8:], 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
 def positional_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -132,10 +146,13 @@ def positional_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             step = np.diff(place, prepend=np.uint32(0))
             begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
             step[begins] = place[begins]
-            cells = [first.astype("<u4"), words.hashes.astype("<u8"), words.letters, words.ends.astype("<u4"), ends.astype("<u4")]
-            binary = [pa.array([x.tobytes()], pa.binary()) for x in cells] + [pa.array([pa.compress(step.tobytes(), "zstd", asbytes=True)], pa.binary())]
+            own_sizes = words.ends - words.starts
+            # hashes follow from the bytes, unless words of one hash had to be told apart
+            plain = np.array_equal(c.hash_ranges(c.padded(words.letters), words.starts, own_sizes), words.hashes)
+            text = len(words.letters).to_bytes(8, "little") + pa.compress(words.letters.tobytes(), "zstd", asbytes=True)
+            cells = [_packed(np.diff(first, prepend=0)), b"" if plain else words.hashes.astype("<u8").tobytes(), text, _packed(own_sizes), _packed(np.diff(ends, prepend=0)), _packed(step)]
             lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), lists, *binary], ["segment", "keys", "first", "hashes", "letters", "letter_ends", "ends", "postings"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), lists, *[pa.array([x], pa.binary()) for x in cells]], ["segment", "keys", "first", "moved", "letters", "letter_sizes", "counts", "postings"])
 
         size = 0
         for batch in batches:
@@ -150,22 +167,25 @@ def positional_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             yield segment()
 
     rows = docs.select(F.col(key).alias("doc"), "text").mapInArrow(c.tidy(write), _SEGMENT.format(kind))
-    return c.materialize(rows, "positions")
+    return c.materialize(rows, "positions", compression="none")
 
 
 class Segment:
     """A row of the index, read: words, and the places of each in one ascending array."""
 
     def __init__(self, row: dict):
-        number = lambda name, kind="<u4": np.frombuffer(row[name], kind)
-        self.words = Dictionary(number("hashes", "<u8"), np.frombuffer(row["letters"], np.uint8), number("letter_ends").astype(np.int64))
-        self.ends = number("ends").astype(np.int64)
+        size = int.from_bytes(row["letters"][:8], "little")
+        letters = np.frombuffer(pa.decompress(row["letters"][8:], size, "zstd", asbytes=True), np.uint8)
+        sizes = _unpacked(row["letter_sizes"])
+        upto = np.cumsum(sizes)
+        hashes = np.frombuffer(row["moved"], "<u8") if row["moved"] else c.hash_ranges(c.padded(letters), upto - sizes, sizes)
+        self.words = Dictionary(hashes, letters, upto)
+        self.ends = np.cumsum(_unpacked(row["counts"]))
         self.begins = np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]
         if "postings" in row:
-            self.first = number("first").astype(np.int64)
+            self.first = np.cumsum(_unpacked(row["first"]))
             self.base = self.first[:-1] + np.arange(len(self.first) - 1)
-            total = int(self.ends[-1]) if len(self.ends) else 0
-            step = np.frombuffer(pa.decompress(row["postings"], 4 * total, "zstd", asbytes=True), "<u4").astype(np.int64)
+            step = _unpacked(row["postings"])
             upto = np.cumsum(step)
             before = np.concatenate([[0], upto])[self.begins]
             self.places = upto - np.repeat(before, self.ends - self.begins)
@@ -276,8 +296,8 @@ def term_frequencies(index: DataFrame, phrases: Phrases) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(phrases.words.hashes), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                segment = Segment(row)
+            for i in range(batch.num_rows):
+                segment = Segment({x: batch.column(x)[i].as_py() for x in _WORDS})
                 entry = phrases.entries(segment)
                 here = entry >= 0
                 total[here] += (segment.ends - segment.begins)[entry[here]]
@@ -285,7 +305,7 @@ def term_frequencies(index: DataFrame, phrases: Phrases) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "n"])
 
     out = np.zeros(len(phrases.words.hashes), np.int64)
-    counted = index.select("hashes", "letters", "letter_ends", "ends").mapInArrow(c.tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = index.select(*_WORDS).mapInArrow(c.tidy(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
     return out
 
@@ -301,8 +321,7 @@ def _lookup(index: DataFrame, phrases: Phrases) -> DataFrame:
         names = pa.array(phrases.items, pa.string())
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {x: batch.column(x)[i].as_py() for x in ("first", "hashes", "letters", "letter_ends", "ends", "postings")}
-                segment = Segment(row)
+                segment = Segment({x: batch.column(x)[i].as_py() for x in (*_WORDS, *_PLACES)})
                 n = len(segment.base)
                 window, place = phrases.matches(segment)
                 of = segment.rows(place)
@@ -384,7 +403,7 @@ def proximity_matches(docs: DataFrame, terms: list[str], within: int, key: str =
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                segment = Segment({x: batch.column(x)[i].as_py() for x in ("first", "hashes", "letters", "letter_ends", "ends", "postings")})
+                segment = Segment({x: batch.column(x)[i].as_py() for x in (*_WORDS, *_PLACES)})
                 entry = phrases.entries(segment)
                 if not n_terms or (entry < 0).any():
                     continue
