@@ -7,7 +7,6 @@ or max_by. Nothing is ordered that isn't asked to be.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,12 +78,11 @@ def cap_grants(headers: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def integrate_ready(headers: DataFrame) -> DataFrame:
-    """Pending operations whose dependency is integrated: a semi join for each kind of dependency."""
-    pending, done = headers.where("state = 'O'"), headers.where("state = 'F'").select("hash")
-    first = pending.where("type = 'Create' and prev_hash is null")
-    after = pending.where("type = 'Create'").join(done.withColumnRenamed("hash", "prev_hash"), "prev_hash", "left_semi")
-    changed = [pending.where(F.col("type") == x).join(done.withColumnRenamed("hash", "target"), "target", "left_semi") for x in ("Update", "Delete")]
-    return reduce(DataFrame.unionByName, [first, after, *changed]).select("hash", "type")
+    """Pending operations whose dependency is integrated: a create needs the header before it, if there is one, a change its target."""
+    done = headers.where("state = 'F'").select(F.col("hash").alias("need")).distinct().withColumn("done", F.lit(True))
+    need = F.when(F.col("type") == "Create", F.col("prev_hash")).otherwise(F.col("target"))
+    pending = headers.where("state = 'O'").select("hash", "type", need.alias("need")).join(done, "need", "left")
+    return pending.where(F.col("done") | ((F.col("type") == "Create") & F.col("need").isNull())).select("hash", "type")
 
 
 def activity(headers: DataFrame) -> DataFrame:
