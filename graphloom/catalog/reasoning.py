@@ -154,3 +154,16 @@ def goal_toposort(spark, d):
 def consensus(spark, d):
     n = F.count(F.lit(1))
     return t.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("proposal")).agg((F.count_if(F.col("o_orderstatus") == "F") / n).alias("ratio")).where("ratio >= 0.5")
+
+
+@query("accepting_rules", "SELECT predicate, CASE predicate WHEN 'owns' THEN 'authority' WHEN 'created_at' THEN 'temporal' WHEN 'core:seq' THEN 'core' ELSE '' END AS sets, count(*) AS n FROM (SELECT ['owns', 'created_at', 'core:seq', 'seq', 'likes'][1 + c_custkey % 5] AS predicate FROM customer) GROUP BY 1, 2")
+def accepting_rules(spark, d):
+    rows = t.table(spark, d, "customer").select(F.expr("array('owns', 'created_at', 'core:seq', 'seq', 'likes')[cast(c_custkey % 5 as int)]").alias("predicate"))
+    return rows.groupBy("predicate", F.array_join(r.accepted_by(), ",").alias("sets")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("check_manifest", "SELECT 'shop' AS namespace, CASE WHEN n_nationkey % 4 = 0 THEN 'shop:p' || n_nationkey % 3 ELSE 'x:p' || n_nationkey % 3 END AS predicate, CASE WHEN n_nationkey % 2 = 1 THEN 'not_required' WHEN n_nationkey % 4 = 0 AND n_nationkey % 3 = 1 THEN 'rule_matched' ELSE 'no_matching_rule' END AS outcome FROM nation")
+def check_manifest(spark, d):
+    n = t.table(spark, d, "nation")
+    asked = n.select(F.lit("shop").alias("namespace"), F.expr("case when n_nationkey % 4 = 0 then 'p' || n_nationkey % 3 else 'x:p' || n_nationkey % 3 end").alias("predicate"), (F.col("n_nationkey") % 2 == 0).alias("require_proof"))
+    return r.check_manifest(asked, ["shop:p1"])

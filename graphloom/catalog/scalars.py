@@ -176,6 +176,15 @@ def cloze(spark, d):
     return markdown(spark, d).select("path", F.explode(v.cloze(F.col("content"))).alias("cloze"))
 
 
+CARDS = "'Capital of ' || lang || ' {{cloze c' || doc_id || ' \\\\\\\\ hint ' || doc_id % 3 || '}} #card <!-- srs ef=2.5 int=' || doc_id % 9 || ' due=2024-0' || (doc_id % 9 + 1) || '-11 last=2024-13-01 q=x -->'"
+
+
+@query("parse_card", "SELECT doc_id, 'Capital of ' || lang || ' {{cloze c' || doc_id || ' \\\\ hint ' || doc_id % 3 || '}}' AS front, 'c' || doc_id AS answer, 'hint ' || doc_id % 3 AS hint, '2.5' AS ef, CAST(doc_id % 9 AS VARCHAR) AS \"int\", '2024-0' || (doc_id % 9 + 1) || '-11' AS due, CAST(NULL AS VARCHAR) AS last FROM documents")
+def parse_card(spark, d):
+    rows = t.table(spark, d, "documents").select("doc_id", v.parse_card(F.expr(CARDS)).alias("c"))
+    return rows.select("doc_id", "c.front", F.col("c.clozes")[0]["answer"].alias("answer"), F.col("c.clozes")[0]["hint"].alias("hint"), "c.ef", "c.int", "c.due", "c.last")
+
+
 @query("neutralize", "SELECT n_nationkey, 'a\\*b \\[x\\] \\#' || n_nationkey AS text FROM nation")
 def neutralize(spark, d):
     return t.table(spark, d, "nation").select("n_nationkey", v.neutralize(F.expr("'a*b [x] #' || n_nationkey")).alias("text"))

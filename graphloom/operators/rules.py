@@ -24,6 +24,34 @@ def integrity() -> dict[str, Column]:
     }
 
 
+#: Predicates that rules of each set look at and accept; they name what holds of a triple and reject nothing.
+ACCEPTING = {
+    "authority": ("owns", "grants_permission", "delegates_to"),
+    "temporal": ("before", "created_at", "expires_at", "has_sequence"),
+    "core": ("author", "seq", "prevAction", "entryHash", "agent"),
+}
+
+
+def accepted_by(obj: Column | None = None) -> Column:
+    """The rule sets, sorted, that have an accepting rule for a triple's predicate; those of core look at its local name behind a colon.
+
+    obj: the object's text; the role of an admin is a matter of authority.
+    """
+    admin = F.lit(False) if obj is None else F.coalesce((F.col("predicate") == "has_role") & (obj == "admin"), F.lit(False))
+    name = lambda kind: F.when(F.contains(F.col("predicate"), F.lit(":")), F.substring_index("predicate", ":", -1)) if kind == "core" else F.col("predicate")
+    return F.array_compact(F.array(*[F.when(name(kind).isin(*names) | (admin & F.lit(kind == "authority")), F.lit(kind)) for kind, names in sorted(ACCEPTING.items())]))
+
+
+def check_manifest(assertions: DataFrame, predicates: list[str]) -> DataFrame:
+    """namespace, predicate, outcome of assertions(namespace, predicate, require_proof): whether a proof that is asked for has a rule to come from.
+
+    predicates: those that enabled rules are about; without any, nothing can be evaluated. A bare predicate is one of the namespace.
+    """
+    full = F.when(F.contains(F.col("predicate"), F.lit(":")), F.col("predicate")).otherwise(F.concat("namespace", F.lit(":"), "predicate"))
+    known = F.lit("not_evaluated") if not predicates else F.when(full.isin(*predicates), "rule_matched").otherwise("no_matching_rule")
+    return assertions.select("namespace", full.alias("predicate"), F.when(F.col("require_proof"), known).otherwise("not_required").alias("outcome"))
+
+
 def validate(triples: DataFrame) -> DataFrame:
     """triples with rejections (names of the rules, sorted) and accepted."""
     found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in sorted(integrity().items())]))

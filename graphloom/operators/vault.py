@@ -193,6 +193,47 @@ def cloze(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\{\{cloze (.*?)\}\}"), 1)
 
 
+_CARD, _SRS = r"(?:^|\s)#card($|[^A-Za-z0-9_/-])", r"(?s)<!--\s*srs\b(.*?)-->\s*$"
+
+
+def parse_card(line: Column) -> Column:
+    """front, clozes (answer, hint), id, ef, int, reps, due, last, q of a card line; null for other lines.
+
+    A card has the tag #card or a cloze; a cloze's hint stands behind its last two backslashes. The state of
+    its reviews is a comment at the line's end, <!-- srs key=value ... -->, of which malformed values count as missing.
+    """
+    inner = F.regexp_extract_all(line, F.lit(r"\{\{cloze\s+(.*?)\}\}"), 1)
+
+    def cloze_of(x: Column) -> Column:
+        parts = F.split(x, r"\\\\")
+        answer = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), r"\\")).otherwise(x)
+        return F.struct(F.trim(answer).alias("answer"), F.when(F.size(parts) > 1, F.trim(F.element_at(parts, -1))).alias("hint"))
+
+    tokens = F.split(F.regexp_extract(line, _SRS, 1), r"\s+")
+
+    def value(key: str) -> Column:
+        own = F.filter(tokens, lambda x: x.startswith(key + "="))
+        return F.when(F.size(own) > 0, F.substring(F.element_at(own, -1), len(key) + 2, 1 << 20))
+
+    number = lambda key: F.when(value(key).rlike(r"^[+-]?\d+$"), value(key)).alias(key)
+    date = lambda key: F.when(valid_date(value(key)), value(key)).alias(key)
+    front = F.regexp_replace(F.regexp_replace(line, _SRS, ""), _CARD, " $1")
+    return F.when(
+        line.rlike(_CARD) | (F.size(inner) > 0),
+        F.struct(
+            F.trim(F.regexp_replace(front, r"\s+", " ")).alias("front"),
+            F.transform(inner, cloze_of).alias("clozes"),
+            F.when(value("id").rlike("^[0-9a-f]{12}$"), value("id")).alias("id"),
+            F.when(value("ef").try_cast("double").isNotNull(), value("ef")).alias("ef"),
+            number("int"),
+            number("reps"),
+            date("due"),
+            date("last"),
+            number("q"),
+        ),
+    )
+
+
 def wikilinks(line: Column) -> Column:
     """Targets of [[target|alias]] and [[target]]."""
     return F.transform(F.regexp_extract_all(line, F.lit(r"\[\[([^\]\|#]+)[^\]]*\]\]"), 1), lambda x: F.trim(x))

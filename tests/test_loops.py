@@ -64,3 +64,8 @@ def test_conditions_as_functions(spark):
 def test_contradictions_of_the_fixed_pairs(spark):
     facts = spark.createDataFrame([("sky", "is", "blue"), ("sky", "is_not", "blue"), ("sky", "has", "blue"), ("sky", "lacks", "blue"), ("cat", "alive", "x"), ("cat", "dead", "y")], "s string, p string, o string")
     assert rows(rules.contradictions(facts)) == [("sky", "blue")]
+
+
+def test_accepting_rules(spark):
+    rows = spark.createDataFrame([("has_role", "admin"), ("has_role", "guest"), ("x:agent", ""), ("before", "")], "predicate string, o string")
+    assert [list(r[0]) for r in rows.select(rules.accepted_by(F.col("o"))).collect()] == [["authority"], [], ["core"], ["temporal"]]
