@@ -44,9 +44,10 @@ from . import common as c
 
 END_ID = 0
 SHARD_IDS = 1 << 20
-CACHE = 600_000
-SLOTS = 1 << 19
+CACHE = 1_500_000
+SLOTS = 1 << 20
 CHARS = 1 << 20
+JOINED = 500
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -61,19 +62,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 _SPACE, _LETTER, _NUMBER, _OTHER, _NONE = 0, 1, 2, 3, 255
 #: Code points with the Unicode property White_Space.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_classes: np.ndarray | None = None
+_classes: dict[int, np.ndarray] = {}
 
 
-def _class_table() -> np.ndarray:
-    global _classes
-    if _classes is None:
+def _class_table(top: int) -> np.ndarray:
+    """The class of each code point up to `top`: a table of those below U+3000, or of all."""
+    size = 0x3000 if top < 0x3000 else 0x110000
+    if size not in _classes:
         import unicodedata
 
-        first = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-        table = np.array([{"L": _LETTER, "N": _NUMBER}.get(x, _OTHER) for x in first], np.uint8)
-        table[_WHITE] = _SPACE
-        _classes = table
-    return _classes
+        kinds = {"L": _LETTER, "N": _NUMBER}
+        table = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(size)), np.uint8, size)
+        table[[x for x in _WHITE if x < size]] = _SPACE
+        _classes[size] = table
+    return _classes[size]
 
 
 def pieces(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -83,7 +85,7 @@ def pieces(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     it, or white space up to the character before such a run.
     """
     n = len(codes)
-    kind = _class_table()[codes]
+    kind = _class_table(int(codes.max()))[codes]
     before = np.empty_like(kind)
     before[1:] = kind[:-1]
     before[firsts] = _NONE
@@ -144,21 +146,50 @@ class Encoder:
         self.keys = [np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)]
         self.rows = [np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)]
 
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one behind the other, number of each piece's ids), from the library.
+
+        Pieces of a space and letters stay apart when they are joined, so JOINED of them are encoded at once and the
+        library's word numbers tell whose ids are whose; others go one by one.
+        """
+        words = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and t[1:].isalpha()]
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        ids: list[np.ndarray] = []
+        order, lengths = [], []
+        single = set(range(len(texts))) - set(words)
+        for group, got in zip(groups, self.tokenizer.encode_batch(["".join([texts[i] for i in group]) for group in groups], add_special_tokens=False)):
+            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(group)) if len(got) else np.zeros(0, np.int64)
+            if len(n) != len(group):
+                single.update(group)
+                continue
+            ids.append(np.array(got.ids, np.uint32))
+            order.append(group)
+            lengths.append(n)
+        rest = sorted(single)
+        lists = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        ids.append(np.fromiter(chain.from_iterable(lists), np.uint32))
+        order.append(rest)
+        lengths.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        place, size, flat = np.concatenate([np.array(x, np.int64) for x in order]), np.concatenate(lengths), np.concatenate(ids)
+        back = np.argsort(place)
+        begin, n = (np.cumsum(size) - size)[back], size[back]
+        return flat[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n
+
     def _add(self, some: list[bytes]) -> np.ndarray:
         """Encode pieces with the library; their rows in the table."""
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)]
-        lengths, sizes = np.fromiter(map(len, lists), np.int32, len(lists)), np.fromiter(map(len, some), np.int32, len(some))
-        total, at, size = int(lengths.sum()), self.pieces, int(sizes.sum())
-        while at + len(lists) > self.about.shape[1]:
+        ids, lengths = self._library([x.decode() for x in some])
+        sizes = np.fromiter(map(len, some), np.int32, len(some))
+        total, at, size = len(ids), self.pieces, int(sizes.sum())
+        while at + len(some) > self.about.shape[1]:
             self.about = np.hstack([self.about, np.zeros_like(self.about)])
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while self.bytes + size + 8 > len(self.letters):
             self.letters = np.resize(self.letters, 2 * len(self.letters))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+        self.flat[self.used : self.used + total] = ids
         self.letters[self.bytes : self.bytes + size] = np.frombuffer(b"".join(some), np.uint8)
-        self.about[:, at : at + len(lists)] = [self.used + np.cumsum(lengths) - lengths, lengths, self.bytes + np.cumsum(sizes) - sizes, sizes]
-        self.pieces, self.used, self.bytes = at + len(lists), self.used + total, self.bytes + size
+        self.about[:, at : at + len(some)] = [self.used + np.cumsum(lengths) - lengths, lengths, self.bytes + np.cumsum(sizes) - sizes, sizes]
+        self.pieces, self.used, self.bytes = at + len(some), self.used + total, self.bytes + size
         return np.arange(at, self.pieces)
 
     def _rows(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
