@@ -8,8 +8,9 @@ tree of cuts first, then the parts of the likeliest branches. Counts over all ro
 offsets, so parts are balanced on the whole table, not on the sample alone. A query goes to its most
 probable parts, and what they hold is reranked by exact cosine in double precision.
 
-How many parts a query needs is measured, not guessed: CALIBRATION queries are searched exactly in
-all rows, and the least number of parts that holds RECALL of their true neighbours is taken.
+How many parts a query needs is measured, not guessed: CALIBRATION queries that the fit hasn't seen are
+searched exactly in all rows, and the least number of parts is taken that holds RECALL of their true
+neighbours and two standard errors more.
 
 Parts are packed into groups of BLOCK rows, in the order of the tree, so neighbouring parts meet
 in one task; a part with more rows (a vector shared by a third of all) is dealt into blocks. A base row is
@@ -17,7 +18,7 @@ sent once for each of its parts, a query once for each group that it probes; a g
 vector that many rows share, the k + 1 smallest ids: no other can be among the k nearest) and its
 queries stream by. A group sends a query's k nearest on, never all pairs.
 
-The fit reads SAMPLE rows at most (the first by a hash of their id); every row is indexed.
+The fit and its calibration read SAMPLE + CALIBRATION rows at most (the first by a hash of their id); every row is indexed.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do those of another dimension than most of the sample; a query's own id is no candidate;
@@ -48,7 +49,7 @@ NEIGHBOURS = 10
 #: Sets of the sample up to this size are cut by vectors instead of links.
 SMALL_SET = 128
 EPOCHS = 2
-RECALL = 0.92
+RECALL = 0.91
 CALIBRATION = 256
 BLOCK = 1 << 16
 K = 5
@@ -368,7 +369,8 @@ def calibrate(router: Router, index: DataFrame, ids: np.ndarray, vec: np.ndarray
     rows = index.join(F.broadcast(truth.select(F.col("vec_id").alias("id"), "number")), "id").groupBy("number", "id").agg(F.collect_set("part").alias("parts")).collect()
     rank = np.argsort(router.order(_unit(vec)), axis=1)
     need = np.array([min(rank[r["number"], p] for p in r["parts"]) for r in rows]) if rows else np.zeros(1)
-    router.probes = int(np.sort(need)[max(0, int(np.ceil(RECALL * len(need))) - 1)]) + 1
+    wanted = min(1.0, RECALL + 2 * (RECALL * (1 - RECALL) / len(need)) ** 0.5)
+    router.probes = int(np.sort(need)[max(0, int(np.ceil(wanted * len(need))) - 1)]) + 1
     return float((need < router.probes).mean())
 
 
@@ -461,7 +463,7 @@ class Index:
     @classmethod
     def build(cls, rows: DataFrame, sample: int = SAMPLE, k: int = K) -> Index | None:
         """Of rows(id, vec) of usable vectors; None if there are none."""
-        some = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(sample).select("id", "vec").toArrow()
+        some = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(sample + CALIBRATION).select("id", "vec").toArrow()
         if not some.num_rows:
             return None
         dims = Counter(len(x) for x in some.column("vec"))
@@ -469,14 +471,14 @@ class Index:
         some = some.filter(pa.array([len(x) == dim for x in some.column("vec")]))
         rows = rows.where(F.size("vec") == dim)
         x = _matrix(some.column("vec"), dim)
-        router = fit(_unit(x), parts_for(rows.count()))
+        held = min(CALIBRATION, len(x) // 8)
+        router = fit(_unit(x[held:]), parts_for(rows.count()))
         if router.parts > 1:
             for _ in range(2):
                 router.balance(_counts(rows, router))
         found = cls._of(router, rows)
         if router.parts > 1:
-            take = slice(0, CALIBRATION)
-            calibrate(router, found.rows, some.column("id").to_numpy()[take], x[take], k)
+            calibrate(router, found.rows, some.column("id").to_numpy()[:held], x[:held], k)
         return found
 
     @classmethod
