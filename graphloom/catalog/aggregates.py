@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import allpairs
 from ..operators import graph as g
 from ..operators import similarity as sim
 from ..operators import vault
@@ -124,9 +125,7 @@ def note_vectors(spark, d):
 
 @query("mean_similarity", PAIRS + ", m AS (SELECT a AS note, b AS other, cosine FROM p UNION ALL SELECT b, a, cosine FROM p) SELECT note, round(avg(cosine), 4) + 0.0 AS mean FROM m GROUP BY 1")
 def mean_similarity(spark, d):
-    pairs = sim.similar_pairs(vectors(spark, d), -2.0).select("a", "b", F.round("cosine", 6).alias("cosine"))
-    both = pairs.select(F.col("a").alias("note"), "cosine").unionByName(pairs.select(F.col("b").alias("note"), "cosine"))
-    return both.groupBy("note").agg((F.round(F.avg("cosine"), 4) + 0.0).alias("mean"))
+    return allpairs.mean_cosines(vectors(spark, d), 4).select(F.col("id").alias("note"), (F.round("mean", 4) + 0.0).alias("mean"))
 
 
 @query("top_k_per_node", PAIRS + ", e AS (SELECT a AS node, a, b, cosine FROM p UNION ALL SELECT b, a, b, cosine FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cosine DESC, a, b) AS n FROM e) SELECT DISTINCT a, b, cosine FROM r WHERE n <= 3")
