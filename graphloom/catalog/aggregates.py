@@ -130,7 +130,8 @@ def mean_similarity(spark, d):
 
 @query("top_k_per_node", PAIRS + ", e AS (SELECT a AS node, a, b, cosine FROM p UNION ALL SELECT b, a, b, cosine FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cosine DESC, a, b) AS n FROM e) SELECT DISTINCT a, b, cosine FROM r WHERE n <= 3")
 def top_k_per_node(spark, d):
-    return vault.top_per_node(sim.similar_pairs(vectors(spark, d), -2.0).select("a", "b", F.round("cosine", 6).alias("cosine")))
+    found = allpairs.best_partners(vectors(spark, d), vault.BEST)
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "cosine").distinct()
 
 
 @query("semantic_edges_cap", PAIRS + f"SELECT a, b, cosine FROM p WHERE NOT EXISTS (SELECT 1 FROM ({t.LINKS_SQL}) l WHERE (l.src, l.dst) IN ((a, b), (b, a))) AND cosine >= 0.3 ORDER BY cosine DESC, a, b LIMIT 1200")

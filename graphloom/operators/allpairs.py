@@ -1,9 +1,9 @@
-"""What is asked of all pairs of vectors, without the pairs: each vector's mean cosine.
+"""What is asked of all pairs of vectors, without the pairs: each vector's mean cosine and its k best partners.
 
 Vectors are packed into blocks of bounded size. Blocks meet as rows of a Cartesian product, which reads them again
-and shuffles nothing in the square of the table; a task keeps one sum of each of its vectors.
-Cosines are rounded to six digits before they are added. A vector of norm 0, or with components that
-are null or not finite, and a pair of different lengths have cosine 0; a null vector has cosine null.
+and shuffles nothing in the square of the table; a task keeps k partners, or one sum, of each of its vectors.
+Cosines are rounded to six digits before they are compared or added. A vector of norm 0, or with components that
+are null or not finite, and a pair of different lengths have cosine 0; a null vector has cosine null, which comes last.
 Rows of equal id don't meet. Ids are whole numbers.
 """
 
@@ -15,15 +15,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import drop, importable, store
 
 #: Vectors and components of a block at most, blocks that a block meets in a task, tasks wanted.
 BLOCK, CELLS, MEETS, TASKS = 4096, 1 << 18, 8, 64
-#: Vectors a side of which the cosines are worked out at once.
-TILE = 1024
+#: Vectors a side of which the cosines are worked out at once; candidates a vector up to which each is looked at alone.
+TILE, SPARSE = 1024, 16
+#: In place of a cosine in millionths: with a null vector; of no partner.
+NULL, NONE = -2_000_000, -3_000_000
 #: By how much rounding each cosine to six digits can move a mean, and the error of its sum.
 MOVES = 5.01e-7
 
@@ -39,6 +41,7 @@ class Block:
         self.x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
         self.norm2 = np.einsum("ij,ij->i", self.x, self.x)
         self.unit = np.divide(self.x, np.sqrt(self.norm2)[:, None], out=np.zeros_like(self.x), where=self.norm2[:, None] > 0)
+        self.short = self.unit.astype(np.float32)
 
 
 def _bounded(dot: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -68,6 +71,64 @@ def _slices(n: int) -> list[slice]:
     return [slice(i, min(i + TILE, n)) for i in range(0, n, TILE)]
 
 
+class Best:
+    """The k best partners so far of each vector of a block: larger cosines first, then smaller ids."""
+
+    def __init__(self, block: Block, k: int):
+        self.block, self.k = block, k
+        self.score = np.full((len(block.ids), k), NONE, np.int64)
+        self.ids = np.full((len(block.ids), k), np.iinfo(np.int64).max)
+
+    def take(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        least = self.score[row, -1]
+        better = (score > least) | (score == least) & (ids < self.ids[row, -1])
+        rows, row, ids, score = np.unique(row[better]), row[better], ids[better], score[better]
+        row, ids, score = np.append(np.repeat(rows, self.k), row), np.append(self.ids[rows].ravel(), ids), np.append(self.score[rows].ravel(), score)
+        order = np.lexsort((ids, -score, row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.ids[rows], self.score[rows] = ids[order].reshape(-1, self.k), score[order].reshape(-1, self.k)
+
+    def meet(self, two: Block) -> None:
+        one = self.block
+        if one.size != two.size or one.size < 0:  # all alike: the first ids
+            low, high = np.searchsorted(two.ids, one.ids)[:, None], np.searchsorted(two.ids, one.ids, "right")[:, None]
+            spot = np.arange(self.k)[None, :]
+            spot = spot + (spot >= low) * (high - low)
+            i, j = np.nonzero(spot < len(two.ids))
+            self.take(i, two.ids[spot[i, j]], np.full(len(i), NULL if min(one.size, two.size) < 0 else 0))
+            return
+        for a in _slices(len(one.ids)):
+            for b in _slices(len(two.ids)):
+                i, j = self._candidates(two, a, b)
+                i, j = i + a.start, j + b.start
+                score = _millionths(_bounded(np.einsum("ij,ij->i", one.x[i], two.x[j]), one.norm2[i] * two.norm2[j]))
+                self.take(i, two.ids[j], score.astype(np.int64))
+
+    def _candidates(self, two: Block, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the tile that hold all which can be among the best; the own id is none. Single precision leaves out the most, with a margin for its error."""
+        one, width = self.block, b.stop - b.start
+        near, own = one.short[a] @ two.short[b].T, _equal(one.ids[a], two.ids[b])
+        near[own] = -9
+        error = (one.size + 8) * 6e-8
+        last = self.score[a, -1]
+        least = (last - 0.5) * 1e-6 - error - 1e-7
+        if (new := last <= NULL).any():
+            least[new] = np.partition(near[new], width - self.k, axis=1)[:, width - self.k] - 2 * error - 1.1e-6 if width > self.k else -2
+        hits = np.flatnonzero((near >= np.maximum(least, -2).astype(np.float32)[:, None]).ravel())
+        if len(hits) <= SPARSE * len(near):
+            return np.divmod(hits, width)
+        score, row = _tile(one, two, a, b), np.arange(len(near))
+        score[own] = NONE
+        found = []
+        for _ in range(min(self.k, width)):
+            j = score.argmax(1)  # of equals the first, of the smallest id
+            some = score[row, j] > NONE
+            found.append((row[some], j[some]))
+            score[row, j] = NONE
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Total:
     """Of each vector of a block: the sum of its cosines in millionths, their number, and rows of other ids met."""
 
@@ -161,6 +222,22 @@ def _gathered(met: DataFrame, kind: str, start, answer, schema: str) -> DataFram
     return met.mapInArrow(run, schema)
 
 
+def best_partners(vectors: DataFrame, k: int) -> DataFrame:
+    """node, other, cosine of vectors(id, vec): each id's k most alike rows of other ids, ties to the smaller id."""
+    rows, _, blocks = _rows(vectors)
+    kind, packed = _kind(rows), _packed(rows, blocks)
+    drop(rows)
+
+    def answer(best: Best) -> pa.RecordBatch:
+        i, j = np.nonzero(best.score > NONE)
+        score = best.score[i, j]
+        return pa.RecordBatch.from_arrays([pa.array(best.block.ids[i]), pa.array(best.ids[i, j]), pa.array(score / 1e6, mask=score == NULL)], ["node", "other", "cosine"])
+
+    found = _gathered(_met(packed, blocks, packed, blocks), kind, lambda block: Best(block, k), answer, "node long, other long, cosine double")
+    order = Window.partitionBy("node").orderBy(F.desc_nulls_last("cosine"), "other")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+
+
 def _sums(packed: DataFrame, kind: str) -> dict[int, tuple[int, np.ndarray]]:
     """By length: vectors, and the sum of the unit vectors."""
 

@@ -36,7 +36,7 @@ TABLES = {"copies": odd(90, 30), "few": odd(8, 2)[:2] + [(100, None), (101, None
 
 
 @pytest.mark.parametrize("case", TABLES)
-@pytest.mark.parametrize("name", ["mean_similarity"])
+@pytest.mark.parametrize("name", ["mean_similarity", "top_k_per_node"])
 def test_whole_tables_against_sql(spark, tmp_path, monkeypatch, name, case):
     want = sql(name, TABLES[case], tmp_path)
     for block, tile in ((4096, 1024), (13, 5)):
@@ -45,7 +45,7 @@ def test_whole_tables_against_sql(spark, tmp_path, monkeypatch, name, case):
         assert answer(spark, name, tmp_path) == want
 
 
-@pytest.mark.parametrize("name", ["mean_similarity"])
+@pytest.mark.parametrize("name", ["mean_similarity", "top_k_per_node"])
 def test_no_pairs_are_made(spark, tmp_path, monkeypatch, name):
     """The table of all pairs grows with the square of the rows; 1 GB can't have it."""
     from graphloom.operators import similarity
