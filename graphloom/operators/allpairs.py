@@ -24,8 +24,8 @@ from ..plans.fixpoint import drop, importable, store
 BLOCK, CELLS, MEETS, TASKS = 4096, 1 << 18, 8, 64
 #: Vectors a side of which the cosines are worked out at once; candidates a vector up to which each is looked at alone.
 TILE, SPARSE = 1024, 16
-#: In place of a cosine in millionths: with a null vector; of no partner.
-NULL, NONE = -2_000_000, -3_000_000
+#: The largest cosine in millionths; in place of one: with a null vector; of no partner.
+MOST, NULL, NONE = 1_000_000, -2_000_000, -3_000_000
 #: By how much rounding each cosine to six digits can move a mean, and the error of its sum.
 MOVES = 5.01e-7
 
@@ -107,14 +107,20 @@ class Best:
 
     def _candidates(self, two: Block, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
         """Places in the tile that hold all which can be among the best; the own id is none. Single precision leaves out the most, with a margin for its error."""
-        one, width = self.block, b.stop - b.start
+        one, last, ends = self.block, self.score[a, -1], self.ids[a, -1]
+        if (last == MOST).all():  # only smaller ids are better
+            b = slice(b.start, min(b.stop, int(np.searchsorted(two.ids, ends.max()))))
+        full = (last == MOST) & (ends <= two.ids[b.start])
+        if b.stop <= b.start or full.all():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        width = b.stop - b.start
         near, own = one.short[a] @ two.short[b].T, _equal(one.ids[a], two.ids[b])
         near[own] = -9
         error = (one.size + 8) * 6e-8
-        last = self.score[a, -1]
         least = (last - 0.5) * 1e-6 - error - 1e-7
         if (new := last <= NULL).any():
             least[new] = np.partition(near[new], width - self.k, axis=1)[:, width - self.k] - 2 * error - 1.1e-6 if width > self.k else -2
+        least[full] = 9
         hits = np.flatnonzero((near >= np.maximum(least, -2).astype(np.float32)[:, None]).ravel())
         if len(hits) <= SPARSE * len(near):
             return np.divmod(hits, width)
